@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from jobforge.llm import history, near_dup
+from jobforge.llm import bpe, history, near_dup, packing, quantile_sketch
 
 
 def queries() -> dict:
     return {
         "p1_found": history.found,
+        "p3_percentiles": quantile_sketch.percentiles,
         "p6_found": near_dup.found, "p6_groups": near_dup.links,
+        "p8_ids": bpe.ids,
+        "p9_containers": packing.assigned, "p9_fill": packing.summary,
     }
 
 
