@@ -49,8 +49,9 @@ def variants(signed: DataFrame) -> DataFrame:
 def text_pairs(signed: DataFrame) -> DataFrame:
     """(a, b): tids of different similar texts, a < b, verified exactly."""
     v = variants(signed)
-    o = v.select(F.col("s0").alias("t0"), "key")
-    met = v.join(o, "key").filter((F.col("s0") < F.col("t0")) & (F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) <= FIRST_BITS)).select("s0", "t0").distinct()
+    # the two sides are the same plan, so that their exchange is made once
+    met = v.alias("x").join(v.alias("y"), F.col("x.key") == F.col("y.key")).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0"))
+    met = met.filter((F.col("s0") < F.col("t0")) & (F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) <= FIRST_BITS)).distinct()
     slim = signed.select("tid", "s0", "s1", "s2").distinct()
     twice = slim.groupBy("s0").count().filter("count > 1").select("s0", F.col("s0").alias("t0"))  # different texts under one sketch
     right = slim.select(*(F.col(c).alias(n) for c, n in (("tid", "b"), ("s0", "t0"), ("s1", "t1"), ("s2", "t2"))))
