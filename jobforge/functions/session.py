@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let the driver drop what no longer has a use, so that shuffle files of finished steps go from the disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file so that it appears whole or not at all (written aside, then renamed)."""
     jvm = spark._jvm
@@ -84,4 +91,4 @@ def guid(col) -> "F.Column":
     return F.when(F.regexp_like(c, F.lit(r"^\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$")), parts).otherwise(c)
 
 
-__all__ = ["table", "shared_dir", "new_path", "cut", "remove", "write_text", "read_text", "list_names", "num_partitions", "guid"]
+__all__ = ["table", "shared_dir", "new_path", "cut", "free", "remove", "write_text", "read_text", "list_names", "num_partitions", "guid"]
