@@ -9,12 +9,14 @@ the batch's own postings are appended. Old texts are neither read nor tokenised
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import cut, list_names, new_path, table
+from jobforge.functions.session import cut, free, list_names, new_path, table
 from jobforge.llm import fingerprint as fp
 from jobforge.llm.near_dup import FIRST_BITS, OTHER_BITS, verified
 
@@ -48,15 +50,31 @@ def token_counts(texts: DataFrame) -> np.ndarray:
 
 
 class HistoryIndex:
-    """The index under ``path``: ``postings/b=N``, ``texts/b=N`` of each batch, and the frozen counters."""
+    """The index under ``path``: ``postings/b=N`` (bucketed and sorted by token) and ``texts/b=N`` of each batch, and the frozen counters.
+
+    ``buckets`` is fixed when the index is begun."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._df = spark, path, None
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets, self._df = spark, path, buckets, None
 
-    def _read(self, what: str) -> DataFrame | None:
+    def _batches(self, what: str) -> list[str]:
         names = [n for n in list_names(self.spark, f"{self.path}/{what}") if n.startswith("b=")]
-        done = [n for n in names if "_SUCCESS" in list_names(self.spark, f"{self.path}/{what}/{n}")]
-        return self.spark.read.parquet(*(f"{self.path}/{what}/{n}" for n in sorted(done))) if done else None
+        return sorted((n for n in names if "_SUCCESS" in list_names(self.spark, f"{self.path}/{what}/{n}")), key=lambda n: int(n[2:]))
+
+    def _postings(self, batch: str) -> DataFrame:
+        """A batch's postings as a bucketed table, so that joins on the token need no shuffle."""
+        at = f"{self.path}/postings/{batch}"
+        name = "postings_" + hashlib.md5(at.encode()).hexdigest()[:16]
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (token INT, s0 BIGINT) USING parquet CLUSTERED BY (token) SORTED BY (token) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        return self.spark.table(name)
+
+    def _write_postings(self, made: DataFrame, batch: str) -> None:
+        at = f"{self.path}/postings/{batch}"
+        name = "postings_" + hashlib.md5(at.encode()).hexdigest()[:16]
+        rows = made.select(F.explode("tokens").alias("token"), "s0").repartition(self.buckets, "token")
+        # sketches recur: a large dictionary page keeps them at a few bits each
+        rows.write.bucketBy(self.buckets, "token").sortBy("token").option("path", at).option("parquet.dictionary.page.size", str(1 << 23)).format("parquet").saveAsTable(name)
 
     def _counters(self, norm: DataFrame) -> np.ndarray:
         if self._df is None:
@@ -67,37 +85,43 @@ class HistoryIndex:
             self._df = np.frombuffer(self.spark.read.parquet(at).first().counts, np.int32)
         return self._df
 
-    def ingest(self, batch: DataFrame) -> DataFrame | None:
+    def ingest(self, batch: DataFrame) -> DataFrame:
         """Take in a batch (id, created_at, date, text) and give the ids in it that repeat an earlier row, of history or of the batch.
 
-        Earlier is by created_at, date, id, nulls first. Null and empty texts and texts under five characters repeat nothing and aren't kept. Rows doubled in
-        full count once. Batches must come in order of created_at. None where the batch has no usable text."""
+        Earlier is by created_at, date, id, nulls first. Null and empty texts and texts under five characters repeat nothing and aren't kept. Rows
+        doubled in full count once. Batches must come in order of created_at. An empty batch gives no rows."""
         spark = self.spark
-        number = len(list_names(spark, f"{self.path}/texts"))
+        old = self._batches("texts")
+        this = f"b={int(old[-1][2:]) + 1 if old else 0}"
         norm = batch.select(F.col("id").cast("string").alias("id"), "created_at", "date", fp.normalised(F.col("text")).alias("norm")).filter(f"length(norm) >= {fp.SHINGLE}")
         counters = spark.sparkContext.broadcast(self._counters(norm))  # 4 MB, always
 
         def fingerprints(batches):
+            seen = set()  # texts of this partition; copies post their tokens once
             for b in batches:
-                texts = b.column("norm").to_pylist()
+                texts, tids = b.column("norm").to_pylist(), b.column("tid").to_pylist()
                 _, s0, s1, s2 = fp.sketches(texts)
-                lens, toks = fp.prefixes(texts, counters.value, SHARE)
+                fresh = [not (t in seen or seen.add(t)) for t in tids]
+                lens = np.zeros(len(texts), np.int64)
+                lens[fresh], toks = fp.prefixes([t for t, f in zip(texts, fresh, strict=True) if f], counters.value, SHARE)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(toks.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("created_at"), b.column("date"), b.column("tid"), pa.array(fp.sizes(texts).astype(np.int32)), pa.array(s0), pa.array(s1), pa.array(s2), pa.array([fp.pack(t) for t in texts], pa.binary()), lists], ["id", "created_at", "date", "tid", "n", "s0", "s1", "s2", "packed", "tokens"])
-
-        old_postings, old_texts = self._read("postings"), self._read("texts")
-        made = cut(norm.withColumn("tid", F.unhex(F.md5("norm"))).mapInArrow(fingerprints, SCHEMA), "batch")
-        # one posting for each token of each sketch: copies under one sketch and one prefix are one
-        slim = made.select("s0", "tokens").distinct()
-        postings = f"{self.path}/postings/b={number}"
-        slim.select(F.explode("tokens").alias("token"), "s0").repartition("token").sortWithinPartitions("token").write.parquet(postings)
-        made.drop("tokens").write.parquet(f"{self.path}/texts/b={number}")
-        own = spark.read.parquet(postings)
-        against = (own if old_postings is None else old_postings.unionByName(own)).withColumnRenamed("s0", "t0")
-        met = own.join(against, "token").filter((F.col("s0") != F.col("t0")) & (F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) <= FIRST_BITS)).select("s0", "t0").distinct()
-        mine = spark.read.parquet(f"{self.path}/texts/b={number}")
-        every = mine if old_texts is None else old_texts.unionByName(mine)
-        return self._repeats(met, mine, every)
+                cols = {"id": b.column("id"), "created_at": b.column("created_at"), "date": b.column("date"), "tid": b.column("tid"), "n": pa.array(fp.sizes(texts).astype(np.int32))}
+                cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary()), "tokens": lists}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+        norm.withColumn("tid", F.unhex(F.md5("norm"))).mapInArrow(fingerprints, SCHEMA).write.parquet(f"{self.path}/texts/{this}")
+        mine = spark.read.schema(SCHEMA).parquet(f"{self.path}/texts/{this}")
+        self._write_postings(mine, this)
+        own = self._postings(this)
+        near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FIRST_BITS
+        x, y = own.alias("x"), own.alias("y")
+        within = x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.s0") < F.col("y.s0")) & near("x.s0", "y.s0")).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")).distinct()
+        met = within.select(F.inline(F.array(F.struct("s0", "t0"), F.struct(F.col("t0").alias("s0"), F.col("s0").alias("t0")))))
+        for o in old:  # a join for each batch of history, without a shuffle of it
+            y = self._postings(o).alias("y")
+            met = met.unionByName(x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.s0") != F.col("y.s0")) & near("x.s0", "y.s0")).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")))
+        every = spark.read.schema(SCHEMA).parquet(*(f"{self.path}/texts/{b}" for b in (*old, this)))
+        return self._repeats(met.distinct(), mine, every)
 
     def _repeats(self, met: DataFrame, mine: DataFrame, every: DataFrame) -> DataFrame:
         order = F.struct("created_at", "date", "id")
@@ -137,6 +161,7 @@ def repeats(spark: SparkSession, batches: list[DataFrame], split: bool = False,
         batches = [df] if first is None else [df.filter(own), df.filter(F.col("created_at") > F.lit(first))]
     out = None
     for b in batches:
-        got = index.ingest(b)
+        got = cut(index.ingest(b), "repeats")
         out = got if out is None else out.unionByName(got)
+        free(spark)
     return out
