@@ -19,6 +19,8 @@ from jobforge.llm import fingerprint as fp
 SEGMENTS, SYMBOLS = 10, 6
 #: Bits in which the first 64 and the other 128 sketch bits of a pair may differ before it is given up: at Jaccard 0.7 expected 9.6 and 19.2.
 FIRST_BITS, OTHER_BITS = 20, 36
+#: Up to so many 16-byte hashes are broadcast (about 20 MB with their table).
+SHORT_LIST = 250_000
 
 
 def _signatures(batches):
@@ -62,11 +64,13 @@ def text_pairs(signed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) of tids whose texts are similar by the exact measure. Only texts that occur in a pair are moved."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    texts = signed.select("tid", "packed").join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("packed").alias("packed"))
-    first = pairs.join(texts.select(F.col("tid").alias("a"), F.col("packed").alias("pa")), "a")
-    both = first.join(texts.select(F.col("tid").alias("b"), F.col("packed").alias("pb")), "b")
+    """The pairs (a, b) of tids whose texts are similar by the exact measure. Only texts that occur in a pair are moved: the list of their
+    tids is sent to all tasks where it is short (checked), and joined by a shuffle where it isn't."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct(), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= SHORT_LIST else wanted
+    texts = signed.select("tid", "packed").join(side, "tid", "left_semi").groupBy("tid").agg(F.first("packed").alias("packed"))
+    x, y = texts.alias("x"), texts.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.tid")).select("a", "b", F.col("x.packed").alias("pa")).join(y, F.col("b") == F.col("y.tid")).select("a", "b", "pa", F.col("y.packed").alias("pb"))
     return both.filter(fp.similar("pa", "pb")).select("a", "b")
 
 
