@@ -15,7 +15,7 @@ import numpy as np
 from jobforge.llm import charlstm as net
 from jobforge.llm.pii import KINDS, MODEL, STRIDE, TAGS, WINDOW, suspicious
 
-SAMPLE, STEPS, BATCH, HIDDEN = 6000, 900, 128, 20
+SAMPLE, STEPS, BATCH, HIDDEN = 9000, 3000, 128, 20
 W = r"[А-ЯЁA-Z][а-яёa-z]{2,}"
 EMAIL = re.compile(r"[\w.+\-]+ ?@ ?[\w\-]+(?:\.[\w\-]+)*\.[a-zA-Z]{2,}\b|[\w.+\-]+ ?(?:[(\[]at[)\]]|собака) ?[\w\-]+(?: ?(?:[(\[]dot[)\]]|точка|\.) ?[\w\-]+)+", re.I)
 IDENTITY = re.compile(r"(?:ИНН(?: физлица)?(?: №)?|СНИЛС:?|снилс:?|паспорт|passport no\.|SSN|national ID|ID card) ?((?:[A-ZА-Я]{2}[ \-]?)?\d[\d \-]{5,}\d)", re.I)
@@ -26,20 +26,19 @@ STREET_RU = r"(?:(?:г\. )?[А-ЯЁ][а-яё\-]+(?:-[А-ЯЁ][а-яё]+)?, )?(?:
 STREET_EN = r"\d+ (?:[A-Z][a-z]+ ){1,3}(?:Street|St\.?|Road|Rd\.?|Lane|Ave\.?|Avenue)(?:, (?:floor|apt) \d+)?|(?:[A-Z][a-z]+ ){1,3}(?:Street|St\.?|Road|Rd\.?|Lane|Ave\.?|Avenue) \d+(?:, (?:floor|apt) \d+)?"
 ADDRESS = re.compile(STREET_RU + "|" + STREET_EN)
 NAME_CONTEXT = [
-    re.compile(r"(?:на ресепшене|[Рр]екрутер|[Оо]ткликаться|[Aa]sk for) (" + W + ") (" + W + ")"),
-    re.compile(r"(" + W + ") (" + W + r"), (?=[+(\d])"),
+    re.compile(r"(?:на ресепшене|[Рр]екрутер|[Оо]ткликаться|[Пп]ортфолио присылать|[Вв]опросы задавайте|[Кк]онтактное лицо:|[Кк]оманду собирает|тимлид —|[Aa]sk for|report to|recruiter is|[Cc]ontact person:|[Hh]iring manager:) (" + W + ") (" + W + ")"),
+    re.compile(r"(" + W + ") (" + W + r"), (?=[+(\d][\d ()\-.+]{9})"),
 ]
-BOTS = {"Чат", "Степан Три"}
 
 
 def name_words(texts: list[str]) -> set[str]:
-    """Words that stand for a name in a known context at least twice."""
+    """Stems (five letters) of words that stand for a name in a known context at least twice, so that other cases and genders count too."""
     n: dict[str, int] = {}
     for t in texts:
         for rx in NAME_CONTEXT:
             for m in rx.finditer(t):
                 for g in m.groups():
-                    n[g] = n.get(g, 0) + 1
+                    n[g[:5]] = n.get(g[:5], 0) + 1
     return {w for w, k in n.items() if k >= 2}
 
 
@@ -53,10 +52,10 @@ def spans(text: str, names: set[str]) -> list[tuple[int, int, str]]:
         if 9 <= digits <= 18 and not NOT_PHONE.search(text[: m.start()]) and not PAY_AFTER.search(text[m.end() :]) and not re.match(r"\d{1,3}([ \xa0.]\d{3})*\s?[-–]\s?\d", m.group()):
             found.append((m.start(), m.end(), "phone"))
     for m in re.finditer(r"(?=\b(" + W + ") +(" + W + r")\b)", text):
-        if m.group(1) in names and m.group(2) in names:
+        if m.group(1)[:5] in names and m.group(2)[:5] in names:
             found.append((m.start(1), m.end(2), "name"))
     for m in re.finditer(r"\b(" + W + r") [А-ЯЁA-Z]\. ?[А-ЯЁA-Z]\.|[А-ЯЁA-Z]\. ?[А-ЯЁA-Z]\. ?(" + W + r")\b", text):
-        if (m.group(1) or m.group(2)) in names:
+        if (m.group(1) or m.group(2))[:5] in names:
             found.append((m.start(), m.end(), "name"))
     out, end = [], 0
     for a, b, k in sorted(found, key=lambda s: (s[0], -s[1])):
@@ -120,7 +119,7 @@ def main(path: str) -> None:
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t]
-    names = name_words(texts) - BOTS
+    names = name_words(texts)
     rng = np.random.default_rng(5)
     sample = [texts[i] for i in rng.permutation(len(texts))[:SAMPLE]]
     x, y = windows(sample, names, rng)
