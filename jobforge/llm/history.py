@@ -31,7 +31,7 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     def of_partition(batches):
         total = np.zeros(fp.COUNTERS, np.int64)
         for b in batches:
-            fp.counts(b.column("norm").to_pylist(), total)
+            fp.counts([t for t in fp.normalised(b.column("text").to_pylist()) if len(t) >= fp.SHINGLE], total)
         if total.any():
             for k in range(0, fp.COUNTERS, CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([total[k : k + CHUNK].astype("<i4").tobytes()], pa.binary())], ["k", "part"])
@@ -42,7 +42,7 @@ def token_counts(texts: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in pdf["part"])
         return pd.DataFrame({"k": [key[0]], "part": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
-    rows = texts.select("norm").mapInArrow(of_partition, "k int, part binary").groupBy("k").applyInPandas(add, "k int, part binary").collect()
+    rows = texts.select("text").mapInArrow(of_partition, "k int, part binary").groupBy("k").applyInPandas(add, "k int, part binary").collect()
     out = np.zeros(fp.COUNTERS, np.int32)
     for r in rows:
         out[r.k * CHUNK : (r.k + 1) * CHUNK] = np.frombuffer(r.part, "<i4")
@@ -76,11 +76,11 @@ class HistoryIndex:
         # sketches recur: a large dictionary page keeps them at a few bits each
         rows.write.bucketBy(self.buckets, "token").sortBy("token").option("path", at).option("parquet.dictionary.page.size", str(1 << 23)).format("parquet").saveAsTable(name)
 
-    def _counters(self, norm: DataFrame) -> np.ndarray:
+    def _counters(self, texts: DataFrame) -> np.ndarray:
         if self._df is None:
             at = f"{self.path}/counters"
             if "_SUCCESS" not in list_names(self.spark, at):
-                counts = token_counts(norm)
+                counts = token_counts(texts)
                 self.spark.createDataFrame([(counts.tobytes(),)], "counts binary").coalesce(1).write.mode("overwrite").parquet(at)
             self._df = np.frombuffer(self.spark.read.parquet(at).first().counts, np.int32)
         return self._df
@@ -93,25 +93,27 @@ class HistoryIndex:
         spark = self.spark
         old = self._batches("texts")
         this = f"b={int(old[-1][2:]) + 1 if old else 0}"
-        norm = batch.select(F.col("id").cast("string").alias("id"), "created_at", "date", fp.normalised(F.col("text")).alias("norm")).filter(f"length(norm) >= {fp.SHINGLE}")
-        counters = spark.sparkContext.broadcast(self._counters(norm))  # 4 MB, always
+        slim = batch.select(F.col("id").cast("string").alias("id"), "created_at", "date", "text")
+        counters = spark.sparkContext.broadcast(self._counters(slim))  # 4 MB, always
 
         def fingerprints(batches):
             seen = set()  # texts of this partition; copies post their tokens once
             for b in batches:
-                texts, tids = b.column("norm").to_pylist(), b.column("tid").to_pylist()
+                (ids, stamps, days), texts = fp.usable([b.column(c) for c in ("id", "created_at", "date")], fp.normalised(b.column("text").to_pylist()))
+                tids = [fp.tid(t) for t in texts]
                 _, s0, s1, s2 = fp.sketches(texts)
                 fresh = [not (t in seen or seen.add(t)) for t in tids]
                 lens = np.zeros(len(texts), np.int64)
                 lens[fresh], toks = fp.prefixes([t for t, f in zip(texts, fresh, strict=True) if f], counters.value, SHARE)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(toks.view(np.int32)))
-                cols = {"id": b.column("id"), "created_at": b.column("created_at"), "date": b.column("date"), "tid": b.column("tid"), "n": pa.array(fp.sizes(texts).astype(np.int32))}
+                cols = {"id": ids, "created_at": stamps, "date": days, "tid": pa.array(tids, pa.binary()), "n": pa.array(fp.sizes(texts).astype(np.int32))}
                 cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary()), "tokens": lists}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-        norm.withColumn("tid", F.unhex(F.md5("norm"))).mapInArrow(fingerprints, SCHEMA).write.parquet(f"{self.path}/texts/{this}")
+        slim.mapInArrow(fingerprints, SCHEMA).write.parquet(f"{self.path}/texts/{this}")
         mine = spark.read.schema(SCHEMA).parquet(f"{self.path}/texts/{this}")
         self._write_postings(mine, this)
+        free(spark)
         own = self._postings(this)
         near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FIRST_BITS
         x, y = own.alias("x"), own.alias("y")
@@ -134,6 +136,7 @@ class HistoryIndex:
         # sets whose sizes differ by more than the threshold can't reach it
         lengths = F.least("n", "m") >= fp.THRESHOLD * F.greatest("n", "m") - 0.5
         pairs = cut(pairs.filter(lengths).filter(near <= OTHER_BITS).select("tid", F.col("b"), near.alias("near")), "candidates")
+        free(self.spark)
         # the nearest earlier text first; whoever isn't decided by it is held against all the others
         best = pairs.groupBy("tid").agg(F.min_by("b", "near").alias("b"))
         hit = cut(verified(best.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid")), "hits")

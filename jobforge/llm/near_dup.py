@@ -25,18 +25,18 @@ SHORT_LIST = 250_000
 
 def _signatures(batches):
     for b in batches:
-        texts = b.column("norm").to_pylist()
+        norm = fp.normalised(b.column("text").to_pylist())
+        ids, texts = fp.usable(b.column("id"), norm)
         symbols, s0, s1, s2 = fp.sketches(texts)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("tid"), pa.array([x.tobytes() for x in symbols[:, : SEGMENTS * SYMBOLS]], pa.binary()), pa.array(s0), pa.array(s1), pa.array(s2), pa.array([fp.pack(t) for t in texts], pa.binary())],
-            ["id", "tid", "symbols", "s0", "s1", "s2", "packed"],
-        )
+        cols = {"id": ids, "tid": pa.array([fp.tid(t) for t in texts], pa.binary()), "symbols": pa.array([x.tobytes() for x in symbols[:, : SEGMENTS * SYMBOLS]], pa.binary())}
+        cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary())}
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tid, symbols, s0, s1, s2, packed) of every row whose normalised text has a shingle; tid is the hash of the normalised text."""
-    norm = df.select(F.col(id_col).cast("string").alias("id"), fp.normalised(F.col(text_col)).alias("norm")).filter(f"length(norm) >= {fp.SHINGLE}")
-    return norm.withColumn("tid", F.unhex(F.md5("norm"))).mapInArrow(_signatures, "id string, tid binary, symbols binary, s0 long, s1 long, s2 long, packed binary")
+    slim = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(_signatures, "id string, tid binary, symbols binary, s0 long, s1 long, s2 long, packed binary")
 
 
 def variants(signed: DataFrame) -> DataFrame:
