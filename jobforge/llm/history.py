@@ -138,7 +138,7 @@ class HistoryIndex:
         pairs = cut(pairs.filter(lengths).filter(near <= OTHER_BITS).select("tid", F.col("b"), near.alias("near")), "candidates")
         free(self.spark)
         # the nearest earlier text first; whoever isn't decided by it is held against all the others
-        best = pairs.groupBy("tid").agg(F.min_by("b", "near").alias("b"))
+        best = cut(pairs.groupBy("tid").agg(F.min(F.struct("near", "b")).alias("n")).select("tid", "n.b"), "best")
         hit = cut(verified(best.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid")), "hits")
         rest = pairs.join(hit, "tid", "left_anti").join(best, ["tid", "b"], "left_anti")
         more = verified(rest.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid"))
