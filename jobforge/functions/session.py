@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +34,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for a while; a double underscore stands for a dot."""
+    before = {k.replace("__", "."): spark.conf.get(k.replace("__", "."), None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k.replace("__", "."), v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def tidy(spark: SparkSession):
+    """Writes made meanwhile leave no shuffle files behind: what they wrote is in the shared folder."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,12 +66,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free(spark: SparkSession) -> None:
-    """Let the driver drop what no longer has a use, so that shuffle files of finished steps go from the disks."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file so that it appears whole or not at all (written aside, then renamed)."""
     jvm = spark._jvm
@@ -91,4 +104,4 @@ def guid(col) -> "F.Column":
     return F.when(F.regexp_like(c, F.lit(r"^\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$")), parts).otherwise(c)
 
 
-__all__ = ["table", "shared_dir", "new_path", "cut", "free", "remove", "write_text", "read_text", "list_names", "num_partitions", "guid"]
+__all__ = ["table", "shared_dir", "new_path", "cut", "settings", "tidy", "remove", "write_text", "read_text", "list_names", "num_partitions", "guid"]

@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import list_names, new_path, read_text, table, write_text
+from jobforge.functions.session import cut, list_names, new_path, read_text, table, tidy, write_text
 
 #: Bots and export tools write a channel's id as -100 followed by it; plain groups as its negative.
 CHANNEL_OFFSET = 1_000_000_000_000
@@ -76,8 +76,7 @@ class PostStore:
         else:
             keys = keys.withColumn("held", F.lit(None).cast("string"))
         located = keys.select(*KEY, F.coalesce("held", "fresh").alias("part"), F.col("held").isNull().alias("is_new"))
-        located.write.parquet(lookup := new_path(spark, "post-lookup"))
-        located = spark.read.parquet(lookup)
+        located = cut(located, "post-lookup")
         touched = {r.part for r in located.filter("part IS NOT NULL").select("part").distinct().collect()}  # names of partitions, not of posts
         if not touched:
             return {"rewritten": 0, "kept": len(m["parts"])}
@@ -93,8 +92,9 @@ class PostStore:
             .filter("_n = 1")
             .drop("_n")
         )
-        winners.write.partitionBy("part").parquet(f"{self.path}/posts/v={v}")
-        located.filter("is_new").select(*KEY, "part").write.parquet(f"{self.path}/index/v={v}")
+        with tidy(spark):
+            winners.write.partitionBy("part").parquet(f"{self.path}/posts/v={v}")
+            located.filter("is_new").select(*KEY, "part").write.parquet(f"{self.path}/index/v={v}")
         parts = {**m["parts"], **{p: v for p in touched}}
         write_text(spark, f"{self.path}/manifest-{v}.json", json.dumps({"version": v, "parts": parts, "index": [*m["index"], v]}))
         return {"rewritten": len(touched), "kept": len(parts) - len(touched)}
