@@ -66,7 +66,7 @@ def usable(ids, texts: list[str]):
 
 def pack(text: str) -> bytes:
     """A normalised text, compressed for shuffles."""
-    return zlib.compress(text.encode("utf-8", "surrogatepass"), 3)
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
 
 
 def unpack(packed: bytes) -> str:

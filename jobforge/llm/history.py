@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import cut, free, list_names, new_path, table
+from jobforge.functions.session import cut, list_names, new_path, settings, table, tidy
 from jobforge.llm import fingerprint as fp
 from jobforge.llm.near_dup import FIRST_BITS, OTHER_BITS, verified
 
@@ -73,8 +73,8 @@ class HistoryIndex:
         at = f"{self.path}/postings/{batch}"
         name = "postings_" + hashlib.md5(at.encode()).hexdigest()[:16]
         rows = made.select(F.explode("tokens").alias("token"), "s0").repartition(self.buckets, "token")
-        # sketches recur: a large dictionary page keeps them at a few bits each
-        rows.write.bucketBy(self.buckets, "token").sortBy("token").option("path", at).option("parquet.dictionary.page.size", str(1 << 23)).format("parquet").saveAsTable(name)
+        with tidy(self.spark):
+            rows.write.bucketBy(self.buckets, "token").sortBy("token").option("path", at).option("parquet.enable.dictionary", "false").format("parquet").saveAsTable(name)
 
     def _counters(self, texts: DataFrame) -> np.ndarray:
         if self._df is None:
@@ -113,7 +113,6 @@ class HistoryIndex:
         slim.mapInArrow(fingerprints, SCHEMA).write.parquet(f"{self.path}/texts/{this}")
         mine = spark.read.schema(SCHEMA).parquet(f"{self.path}/texts/{this}")
         self._write_postings(mine, this)
-        free(spark)
         own = self._postings(this)
         near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FIRST_BITS
         x, y = own.alias("x"), own.alias("y")
@@ -135,8 +134,9 @@ class HistoryIndex:
         near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
         # sets whose sizes differ by more than the threshold can't reach it
         lengths = F.least("n", "m") >= fp.THRESHOLD * F.greatest("n", "m") - 0.5
-        pairs = cut(pairs.filter(lengths).filter(near <= OTHER_BITS).select("tid", F.col("b"), near.alias("near")), "candidates")
-        free(self.spark)
+        # each bucket of postings is one file and sorted as written, so the joins on tokens need neither shuffle nor sort
+        with settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+            pairs = cut(pairs.filter(lengths).filter(near <= OTHER_BITS).select("tid", F.col("b"), near.alias("near")), "candidates")
         # the nearest earlier text first; whoever isn't decided by it is held against all the others
         best = cut(pairs.groupBy("tid").agg(F.min(F.struct("near", "b")).alias("n")).select("tid", "n.b"), "best")
         hit = cut(verified(best.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid")), "hits")
@@ -166,5 +166,4 @@ def repeats(spark: SparkSession, batches: list[DataFrame], split: bool = False,
     for b in batches:
         got = cut(index.ingest(b), "repeats")
         out = got if out is None else out.unionByName(got)
-        free(spark)
     return out
