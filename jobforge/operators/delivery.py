@@ -80,15 +80,17 @@ class PostStore:
         touched = {r.part for r in located.filter("part IS NOT NULL").select("part").distinct().collect()}  # names of partitions, not of posts
         if not touched:
             return {"rewritten": 0, "kept": len(m["parts"])}
-        rows = incoming.join(located.select(*KEY, "part"), list(KEY))
+        # one shuffle of the rows: a key's place is that of its held copy, else the one the lookup gave it
+        rows = incoming.withColumn("part", F.lit(None).cast("string"))
         held = self.posts(sorted(touched & set(m["parts"])))
         if held is not None:
             rows = rows.unionByName(held.drop("v").withColumn("part", F.col("part").cast("string")), allowMissingColumns=True)
         order = [F.col(c).desc_nulls_last() for c in ("created_at", "updated_at", "telegram_message_date", "id") if c in rows.columns]
-        same = Window.partitionBy("part", *KEY)
+        same = Window.partitionBy(*KEY)
         winners = (
             rows.withColumn("_n", F.row_number().over(same.orderBy(*order)))
             .withColumn("deliveries", F.sum("deliveries").over(same))
+            .withColumn("part", F.coalesce(F.max("part").over(same), partition_of(F.min("created_at").over(same))))
             .filter("_n = 1")
             .drop("_n")
         )

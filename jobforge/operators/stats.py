@@ -80,7 +80,7 @@ def yearly(global_kept: DataFrame, level_kept: DataFrame, groups: list[str] | No
     mean = both.groupBy(*g).agg(F.avg("mid").alias("mean"))
     median = quantiles(both, g, F.col("mid"), {"median": 0.5}).drop("n")
     out = ext.join(mean.join(median, g), g, "full")
-    r = lambda c: F.round(c, 4).alias(c)
+    r = lambda c: F.round(c, 6).alias(c)
     return out.select(*g, *map(r, ("min_lower", "max_upper", "mean", "median"))).filter("min_lower IS NOT NULL OR max_upper IS NOT NULL OR mean IS NOT NULL")
 
 
@@ -106,7 +106,7 @@ def aggregate_statistics(df: DataFrame, groups: list[str] | None = None) -> Data
     q = quantiles(m, g, F.col("mid"), DECILES)
     mean = m.groupBy(*g).agg(F.avg("mid").alias("mean"))
     j = q.join(mean, g) if g else q.join(F.broadcast(mean), F.lit(True))  # one row each
-    return j.select(*g, "n", *(F.round(c, 4).alias(c) for c in ("mean", *DECILES)))
+    return j.select(*g, "n", *(F.round(c, 6).alias(c) for c in ("mean", *DECILES)))
 
 
 def top_stacks(df: DataFrame, most: int = TOP_STACKS, least: int = LEAST_JOBS) -> DataFrame:
@@ -127,7 +127,7 @@ def stack_comparison(df: DataFrame, groups: list[str]) -> DataFrame:
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("jobs"))
     q = quantiles(df.withColumn("mid", mid).filter(positive(F.col("mid"))), groups, F.col("mid"), DECILES).drop("n")
     nan = F.lit(float("nan"))
-    return counts.join(q, groups, "left").select(*groups, "jobs", *(F.coalesce(F.round(c, 4), nan).alias(c) for c in DECILES))
+    return counts.join(q, groups, "left").select(*groups, "jobs", *(F.coalesce(F.round(c, 6), nan).alias(c) for c in DECILES))
 
 
 def sorted_by_median(df: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from jobforge.operators import delivery, hotkeys, units
+from jobforge.plans import reference
 
 
 def queries() -> dict:
-    return {
+    return reference.Q | {
         "p2_found": hotkeys.found, "p2_stacks": hotkeys.summaries,
         "p5_found": delivery.found, "p5_chats": delivery.per_chat,
         "p7_found": units.found, "p7_common": units.common_units,
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference.SQL)
