@@ -121,13 +121,18 @@ class HistoryIndex:
         for o in old:  # a join for each batch of history, without a shuffle of it
             y = self._postings(o).alias("y")
             met = met.unionByName(x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.s0") != F.col("y.s0")) & near("x.s0", "y.s0")).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")))
-        every = spark.read.schema(SCHEMA).parquet(*(f"{self.path}/texts/{b}" for b in (*old, this)))
-        return self._repeats(met.distinct(), mine, every)
+        history = spark.read.schema(SCHEMA).parquet(*(f"{self.path}/texts/{b}" for b in old)) if old else None
+        return self._repeats(met.distinct(), mine, history)
 
-    def _repeats(self, met: DataFrame, mine: DataFrame, every: DataFrame) -> DataFrame:
+    def _repeats(self, met: DataFrame, mine: DataFrame, history: DataFrame | None) -> DataFrame:
         order = F.struct("created_at", "date", "id")
-        slim = every.groupBy("tid", "s0", "s1", "s2", "n").agg(F.min(order).alias("first"))  # one row a text, with its first bearer
-        new = mine.select("tid", "s0", "s1", "s2", "n").distinct().join(slim.select("tid", "first"), "tid")
+        cols = ("tid", "s0", "s1", "s2", "n")
+        rows = mine.select(*cols, order.alias("own"), F.lit(True).alias("fresh"))
+        if history is not None:
+            rows = rows.unionByName(history.select(*cols, order.alias("own"), F.lit(False).alias("fresh")))
+        # one row a text, with its first bearer
+        slim = cut(rows.groupBy("tid").agg(*(F.first(c).alias(c) for c in cols[1:]), F.min("own").alias("first"), F.max("fresh").alias("fresh")), "texts")
+        new = slim.filter("fresh").drop("fresh")
         old = slim.select(*(F.col(c).alias(x) for c, x in (("tid", "b"), ("s0", "t0"), ("s1", "t1"), ("s2", "t2"), ("n", "m"), ("first", "earlier"))))
         same = slim.groupBy("s0").count().filter("count > 1").select("s0", F.col("s0").alias("t0"))
         pairs = met.unionByName(same).join(new, "s0").join(old, "t0").filter((F.col("tid") != F.col("b")) & (F.col("earlier") < F.col("first")))
@@ -139,12 +144,13 @@ class HistoryIndex:
             pairs = cut(pairs.filter(lengths).filter(near <= OTHER_BITS).select("tid", F.col("b"), near.alias("near")), "candidates")
         # the nearest earlier text first; whoever isn't decided by it is held against all the others
         best = cut(pairs.groupBy("tid").agg(F.min(F.struct("near", "b")).alias("n")).select("tid", "n.b"), "best")
+        every = mine if history is None else history.unionByName(mine)
         hit = cut(verified(best.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid")), "hits")
         rest = pairs.join(hit, "tid", "left_anti").join(best, ["tid", "b"], "left_anti")
         more = verified(rest.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid"))
         repeated = hit.unionByName(more).distinct().withColumn("near_dup", F.lit(True))
-        rows = mine.select("id", "tid", order.alias("own")).distinct().join(new.select("tid", "first"), "tid").join(repeated, "tid", "left")
-        return rows.filter((F.col("own") > F.col("first")) | F.col("near_dup")).select("id").distinct()
+        marked = slim.filter("fresh").select("tid", "first").join(repeated, "tid", "left")
+        return mine.select("id", "tid", order.alias("own")).join(marked, "tid").filter((F.col("own") > F.col("first")) | F.col("near_dup")).select("id").distinct()
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
