@@ -128,7 +128,7 @@ def main(path: str) -> None:
     print(len(names), "name words;", len(x), "windows", flush=True)
     batches = [(x[i].T.copy(), y[i].T.copy()) for i in (rng.choice(keep, BATCH, replace=False) for _ in range(STEPS))]
     m = net.train(net.new_model(HIDDEN, len(TAGS)), batches, report=lambda i, loss: print(i, round(loss, 3), flush=True) if i % 50 == 0 else None)
-    p = net.viterbi(net.emissions(m, x[:held].T), m["trans"]).T
+    p = net.viterbi(net.emissions(net.folded(m), x[:held].T), m["trans"]).T
     for k in KINDS:
         t = TAGS.index(k)
         hit, said, there = ((p == t) & (y[:held] == t)).sum(), (p == t).sum(), (y[:held] == t).sum()
