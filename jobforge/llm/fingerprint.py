@@ -220,10 +220,14 @@ def counts(texts: list[str], into: np.ndarray) -> None:
         np.add.at(into, (u & U(COUNTERS - 1)).astype(np.int64), 1)
 
 
-def prefixes(texts: list[str], df: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(texts: list[str], df: np.ndarray, share: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, tokens): of every text the rarest tokens, so many that two texts with at least ``share`` of the larger one's tokens in common
-    have one of them in common: n - ceil(share n) + 1 of n. The order is the counters', then the token's, the same for all texts."""
+    have ``least`` of them in common: n - ceil(share n) + least of n. The order is the counters', then the token's, the same for all texts.
+
+    A text with so few tokens that ``share`` of them may be fewer than ``least`` also posts each of its tokens under ``least`` other numbers, so that
+    two such texts have ``least`` in common as soon as they have one token in common."""
     lens, toks = [], []
+    few = int(np.ceil(least / share))
     for a, b in groups(texts):
         d, t = word_runs(texts[a:b])
         n_docs = b - a
@@ -234,8 +238,16 @@ def prefixes(texts: list[str], df: np.ndarray, share: float) -> tuple[np.ndarray
         new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
         d, t = d[new], t[new]
         n = np.bincount(d, minlength=n_docs)
-        p = np.where(n > 0, n - np.ceil(share * n - 1e-9).astype(np.int64) + 1, 0)
+        p = np.where(n > 0, n - np.ceil(share * n - 1e-9).astype(np.int64) + least, 0)
         pos = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-        lens.append(np.minimum(p, n))
-        toks.append(t[pos < p[d]])
+        keep = pos < p[d]
+        kd, kt = d[keep], t[keep]
+        short = n[d] < few
+        if least > 1 and short.any():
+            sd, st = np.tile(d[short], least), np.concatenate([(mix(t[short].astype(np.uint64), 0x5EED + i) >> U(32)).astype(np.uint32) for i in range(least)])
+            kd, kt = np.concatenate((kd, sd)), np.concatenate((kt, st))
+            by = np.argsort(kd, kind="stable")
+            kd, kt = kd[by], kt[by]
+        lens.append(np.bincount(kd, minlength=n_docs))
+        toks.append(kt)
     return (np.concatenate(lens) if lens else np.zeros(0, np.int64)), (np.concatenate(toks) if toks else np.zeros(0, np.uint32))

@@ -2,7 +2,7 @@
 
 Tokens are runs of five words (32-bit hashes). The order of rarity is frozen from the first batch: hashed counters of a fixed size, so an order
 that never moves an old posting. Of every text the prefix is indexed that two texts with SHARE of the larger one's tokens in common can't
-both miss; texts similar by the character measure had 0.40 or more in common where measured, so SHARE leaves a margin. Postings are
+both miss, lengthened so that they meet in LEAST tokens; texts similar by the character measure had 0.40 or more in common where measured, so SHARE leaves a margin. Postings are
 bucketed by token; a batch's prefixes probe them, sketches and the lengths' ratio sort out chance meetings, the texts decide, and
 the batch's own postings are appended. Old texts are neither read nor tokenised again, save those that a candidate pair names.
 """
@@ -20,7 +20,7 @@ from jobforge.functions.session import cut, list_names, new_path, settings, tabl
 from jobforge.llm import fingerprint as fp
 from jobforge.llm.near_dup import FIRST_BITS, OTHER_BITS, verified
 
-SHARE = 0.35
+SHARE, LEAST = 0.35, 4
 CHUNK = 1 << 12
 SCHEMA = "id string, created_at timestamp, date date, tid binary, n int, s0 long, s1 long, s2 long, packed binary, tokens array<int>"
 
@@ -104,7 +104,7 @@ class HistoryIndex:
                 _, s0, s1, s2 = fp.sketches(texts)
                 fresh = [not (t in seen or seen.add(t)) for t in tids]
                 lens = np.zeros(len(texts), np.int64)
-                lens[fresh], toks = fp.prefixes([t for t, f in zip(texts, fresh, strict=True) if f], counters.value, SHARE)
+                lens[fresh], toks = fp.prefixes([t for t, f in zip(texts, fresh, strict=True) if f], counters.value, SHARE, LEAST)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(toks.view(np.int32)))
                 cols = {"id": ids, "created_at": stamps, "date": days, "tid": pa.array(tids, pa.binary()), "n": pa.array(fp.sizes(texts).astype(np.int32))}
                 cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary()), "tokens": lists}
@@ -114,13 +114,19 @@ class HistoryIndex:
         mine = spark.read.schema(SCHEMA).parquet(f"{self.path}/texts/{this}")
         self._write_postings(mine, this)
         own = self._postings(this)
-        near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FIRST_BITS
-        x, y = own.alias("x"), own.alias("y")
-        within = x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.s0") < F.col("y.s0")) & near("x.s0", "y.s0")).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")).distinct()
+        x = own.alias("x")
+
+        def meetings(y: DataFrame, different) -> DataFrame:
+            """(s0, t0): sketches of the batch and of ``y`` that share enough tokens and bits. Buckets are joined as they lie."""
+            y = y.alias("y")
+            close = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) <= FIRST_BITS
+            j = x.join(y, F.col("x.token") == F.col("y.token")).filter(different & close)
+            return j.groupBy(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).select("s0", "t0")
+
+        within = meetings(own, F.col("x.s0") < F.col("y.s0"))
         met = within.select(F.inline(F.array(F.struct("s0", "t0"), F.struct(F.col("t0").alias("s0"), F.col("s0").alias("t0")))))
-        for o in old:  # a join for each batch of history, without a shuffle of it
-            y = self._postings(o).alias("y")
-            met = met.unionByName(x.join(y, F.col("x.token") == F.col("y.token")).filter((F.col("x.s0") != F.col("y.s0")) & near("x.s0", "y.s0")).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")))
+        for o in old:
+            met = met.unionByName(meetings(self._postings(o), F.col("x.s0") != F.col("y.s0")))
         history = spark.read.schema(SCHEMA).parquet(*(f"{self.path}/texts/{b}" for b in old)) if old else None
         return self._repeats(met.distinct(), mine, history)
 
