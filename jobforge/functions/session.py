@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used when, and only when, the session names no shared folder (tests, single machine).
 _FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +94,19 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application: they may run elsewhere, without it on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="jobforge-code-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _SHIPPED.add(app)
+
+
 def num_partitions(spark: SparkSession) -> int:
     """The session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -104,4 +120,4 @@ def guid(col) -> "F.Column":
     return F.when(F.regexp_like(c, F.lit(r"^\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$")), parts).otherwise(c)
 
 
-__all__ = ["table", "shared_dir", "new_path", "cut", "settings", "tidy", "remove", "write_text", "read_text", "list_names", "num_partitions", "guid"]
+__all__ = ["table", "shared_dir", "new_path", "cut", "settings", "tidy", "remove", "write_text", "read_text", "list_names", "num_partitions", "ship", "guid"]

@@ -16,11 +16,16 @@ def nonzero(c: Column) -> Column:
     return F.coalesce((F.abs(c) > TOLERANCE) & ~F.isnan(c), F.lit(False))
 
 
-def fences(df: DataFrame, groups: list[str], bound: str) -> DataFrame:
-    """Per group: the fence on ln(bound) from its non-zero values."""
-    q = quantiles(df.filter(nonzero(F.col(bound))), groups, F.ln(bound), QUARTILES)
+def fences(df: DataFrame, groups: list[str], bounds: tuple[str, ...]) -> DataFrame:
+    """One row per group: the fences on ln of each bound from its non-zero values (null where it has none), in one pass over the rows."""
+    long = df.select(*groups, F.inline(F.array(*(F.struct(F.lit(b).alias("_bound"), F.when(nonzero(F.col(b)), F.ln(b)).alias("_ln")) for b in bounds))))
+    q = quantiles(long.filter("_ln IS NOT NULL"), [*groups, "_bound"], F.col("_ln"), QUARTILES)
     iqr = F.col("q3") - F.col("q1")
-    return q.select(*groups, (F.col("q1") - FENCE * iqr).alias(f"{bound}_lo"), (F.col("q3") + FENCE * iqr).alias(f"{bound}_hi"))
+    out = []
+    for b in bounds:
+        own = F.col("_bound") == b
+        out += [F.max(F.when(own, F.col("q1") - FENCE * iqr)).alias(f"{b}_lo"), F.max(F.when(own, F.col("q3") + FENCE * iqr)).alias(f"{b}_hi")]
+    return q.groupBy(*groups).agg(*out)
 
 
 def outside(bound: str) -> Column:
@@ -32,10 +37,8 @@ def outside(bound: str) -> Column:
 def remove(df: DataFrame, groups: list[str] | None = None, bounds: tuple[str, str] = ("lo", "hi")) -> DataFrame:
     """Rows of which neither bound is outside the fences of its group (of all rows without ``groups``). Fences are a row per group and broadcast by size."""
     groups = groups or []
-    out = df
-    for b in bounds:
-        f = fences(df, groups, b)
-        out = out.join(f, groups, "left") if groups else out.join(F.broadcast(f), F.lit(True), "left")  # one row
+    f = fences(df, groups, bounds)
+    out = df.join(f, groups, "left") if groups else df.join(F.broadcast(f), F.lit(True), "left")  # one row
     return out.filter(~(outside(bounds[0]) | outside(bounds[1]))).select(*df.columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import guid, table
+from jobforge.functions.session import cut, guid, table
 from jobforge.operators import outliers
 from jobforge.operators.outliers import nonzero
 from jobforge.operators.quantiles import DECILES, quantiles
@@ -34,6 +34,11 @@ def ads(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ads").withColumn("stack_id", guid(F.col("stack_id")))
 
 
+def steady(c: Column) -> Column:
+    """Three digits. A nudge well above the noise of summation takes values off the middle, so that sums made in another order round alike."""
+    return F.round(c + 1e-7, 3)
+
+
 def before_month(df: DataFrame, as_of: str) -> DataFrame:
     """Rows dated before the first day of ``as_of``'s month."""
     return df.filter(F.col("date") < F.trunc(F.lit(as_of).cast("date"), "MM"))
@@ -80,13 +85,14 @@ def yearly(global_kept: DataFrame, level_kept: DataFrame, groups: list[str] | No
     mean = both.groupBy(*g).agg(F.avg("mid").alias("mean"))
     median = quantiles(both, g, F.col("mid"), {"median": 0.5}).drop("n")
     out = ext.join(mean.join(median, g), g, "full")
-    r = lambda c: F.round(c, 6).alias(c)
+    r = lambda c: steady(F.col(c)).alias(c)
     return out.select(*g, *map(r, ("min_lower", "max_upper", "mean", "median"))).filter("min_lower IS NOT NULL OR max_upper IS NOT NULL OR mean IS NOT NULL")
 
 
 def hybrid_yearly(df: DataFrame) -> DataFrame:
     """The hybrid rule: extremes from rows kept by the global filter, mean and median from rows kept inside their level."""
-    return yearly(outliers.remove(df), outliers.remove_by_level(df))
+    rows = cut(df, "salaries")  # read by both tiers
+    return yearly(outliers.remove(rows), outliers.remove_by_level(rows))
 
 
 def histogram(df: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -106,7 +112,7 @@ def aggregate_statistics(df: DataFrame, groups: list[str] | None = None) -> Data
     q = quantiles(m, g, F.col("mid"), DECILES)
     mean = m.groupBy(*g).agg(F.avg("mid").alias("mean"))
     j = q.join(mean, g) if g else q.join(F.broadcast(mean), F.lit(True))  # one row each
-    return j.select(*g, "n", *(F.round(c, 6).alias(c) for c in ("mean", *DECILES)))
+    return j.select(*g, "n", *(steady(F.col(c)).alias(c) for c in ("mean", *DECILES)))
 
 
 def top_stacks(df: DataFrame, most: int = TOP_STACKS, least: int = LEAST_JOBS) -> DataFrame:
@@ -127,7 +133,7 @@ def stack_comparison(df: DataFrame, groups: list[str]) -> DataFrame:
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("jobs"))
     q = quantiles(df.withColumn("mid", mid).filter(positive(F.col("mid"))), groups, F.col("mid"), DECILES).drop("n")
     nan = F.lit(float("nan"))
-    return counts.join(q, groups, "left").select(*groups, "jobs", *(F.coalesce(F.round(c, 6), nan).alias(c) for c in DECILES))
+    return counts.join(q, groups, "left").select(*groups, "jobs", *(F.coalesce(steady(F.col(c)), nan).alias(c) for c in DECILES))
 
 
 def sorted_by_median(df: DataFrame) -> DataFrame:

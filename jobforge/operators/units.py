@@ -35,6 +35,8 @@ ALIASES = [
 ]
 #: Months in which one period's pay is earned once, as a factor, and an offset, to reach a month; a project counts as one month.
 FACTORS = {"hour": (168.0, 0.0), "day": (21.0, 0.0), "month": (1.0, 0.0), "year": (1 / 12, 0.0), "project": (1.0, 0.0)}
+#: Blanks other than the plain one that stand in numbers.
+BLANKS = "\u00a0\u202f\u2009\t"
 #: Latin letters that stand in for Cyrillic ones in edited copies; only used where the text as written has no pay phrase.
 LOOKALIKE = ("aceopxykmtbh", "асеорхукмтвн")
 
@@ -68,7 +70,7 @@ def pay_phrases(ads: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     """One row per row of ``ads`` with a pay phrase: ad_id, and what the phrase says (t_currency, t_period, t_scale, n1, n2; null where silent).
 
     Null and empty texts and texts without pay give no row. The first phrase counts; whole texts are searched."""
-    plain = F.lower(F.translate(F.col(text_col), "   \t", "    "))
+    plain = F.lower(F.translate(F.col(text_col), BLANKS, " " * len(BLANKS)))
     found = F.regexp_extract(plain, PAY, 0)
     seg = F.when(found != "", found).otherwise(F.regexp_extract(F.translate(plain, *LOOKALIKE), PAY, 0))
     g = lambda i: F.trim(F.regexp_extract("seg", PAY, i))
@@ -129,4 +131,4 @@ def common_units(spark, sf_dir: str) -> DataFrame:
     u = recorded_units(table(spark, sf_dir, "salaries"), table(spark, sf_dir, "ads"))
     pick = lambda i: F.create_map(*(F.lit(x) for k, v in FACTORS.items() for x in (k, v[i])))[F.col("period")]
     rated = as_of_rates(u, table(spark, sf_dir, "rates"), "currency", "date")
-    return rated.select("salary_id", "currency", "period", "scale", F.round(F.col("amount") * F.col("rate") * pick(0) + pick(1), 4).alias("rub_month"))
+    return rated.select("salary_id", "currency", "period", "scale", F.round(F.col("amount") * F.col("rate") * pick(0) + pick(1) + 1e-7, 3).alias("rub_month"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobforge.functions import hashing, text
-from jobforge.functions.session import guid, table
+from jobforge.functions.session import cut, guid, table
 from jobforge.operators import combine, levels, merge, minhash, outliers, rates, salary, stats
 from jobforge.operators.delivery import plain_chat_id
+from jobforge.plans import pipelines, reports
 from jobforge.plans import sql as S
 
 Q: dict = {}
@@ -51,12 +52,12 @@ query("agg6_format_share", S.shares("work_format", stats.FORMATS))(lambda s, d:
 query("agg7_yearly_extremes", _with(S.SAL) + f""" SELECT year(date)::INT AS year, min(CASE WHEN {S.nonzero("lo")} THEN lo END) AS min_lower, max(CASE WHEN {S.nonzero("hi")} THEN hi END) AS max_upper FROM sal GROUP BY ALL""")(
     lambda s, d: stats.salaries(s, d).groupBy(F.year("date").alias("year")).agg(F.min(F.when(outliers.nonzero(F.col("lo")), F.col("lo"))).alias("min_lower"), F.max(F.when(outliers.nonzero(F.col("hi")), F.col("hi"))).alias("max_upper"))
 )
-query("agg8_yearly_middles", _with(S.SAL, S.kept("g", "sal"), S.yearly("g", "g")))(lambda s, d: (lambda k: stats.yearly(k, k))(outliers.remove(stats.salaries(s, d))))
+query("agg8_yearly_middles", _with(S.SAL, S.kept("g", "sal"), S.yearly("g", "g")))(lambda s, d: (lambda k: stats.yearly(k, k))(cut(outliers.remove(cut(stats.salaries(s, d), "salaries")), "kept")))
 query("agg9_yearly_by_level", _with(S.SAL, S.kept_by_level("v0", "sal"), "v AS (SELECT * FROM v0 WHERE level <> 0)", S.yearly("v", "v", "level")))(
-    lambda s, d: (lambda k: stats.yearly(k, k, ["level"]))(outliers.remove_by_level(stats.salaries(s, d)).filter("level <> 0"))
+    lambda s, d: (lambda k: stats.yearly(k, k, ["level"]))(cut(outliers.remove_by_level(cut(stats.salaries(s, d), "salaries")).filter("level <> 0"), "kept"))
 )
 query("agg10_hybrid_by_level", _with(S.SAL, S.kept("g", "sal"), S.kept_by_level("v", "sal"), S.yearly("g", "v", "level")))(
-    lambda s, d: (lambda x: stats.yearly(outliers.remove(x), outliers.remove_by_level(x), ["level"]))(stats.salaries(s, d))
+    lambda s, d: (lambda x: stats.yearly(outliers.remove(x), outliers.remove_by_level(x), ["level"]))(cut(stats.salaries(s, d), "salaries"))
 )
 query("agg11_quantiles", _with(S.SAL) + ",\n" + S.statistics("sal", "level"))(lambda s, d: stats.aggregate_statistics(stats.salaries(s, d), ["level"]))
 query("agg12_histogram", _with(S.SAL, S.histogram("sal")))(lambda s, d: stats.histogram(stats.salaries(s, d)))
@@ -66,6 +67,7 @@ TOP = "top AS (SELECT stack FROM stacked WHERE stack IS NOT NULL GROUP BY stack
 
 def _top(s, d):
     x = stats.with_stacks(s, d)
+    x = cut(x, "stacked")
     return x.join(stats.top_stacks(x).select("stack"), "stack", "left_semi")
 
 
@@ -74,8 +76,8 @@ query("agg14_stack_statistics", _with(S.SAL, S.STACKED, TOP, S.statistics("own",
 
 
 def _by_stack(s, d):
-    once = outliers.remove_by_level(_top(s, d))
-    twice = outliers.remove_by_level(once, extra=["stack"])
+    once = cut(outliers.remove_by_level(cut(_top(s, d), "top")), "once")
+    twice = cut(outliers.remove_by_level(once, extra=["stack"]), "twice")
     return stats.yearly(twice, twice, ["stack"])
 
 
@@ -296,3 +298,18 @@ query("js10_axis_step", _with(S.SAL) + " , m AS (SELECT level, count(*) AS n FRO
 query("js12_stack_hues", "SELECT name, (list_reduce(list_prepend(0::BIGINT, list_transform(generate_series(1, len(name)), lambda i: unicode(substr(name, i, 1))::BIGINT)), lambda a, b: (a * 31 + b) & 4294967295) % 360)::INT AS hue FROM technology_stacks")(
     lambda s, d: table(s, d, "technology_stacks").select("name", combine.stable_hue(F.col("name")).alias("hue"))
 )
+
+# reports ---------------------------------------------------------------------------------------------------------------------------------------
+query("rpt1_ad_reports")(lambda s, d: reports.ad_reports(stats.before_month(stats.salaries(s, d), S.AS_OF), table(s, d, "ads")))
+
+
+def _salary_reports(s, d):
+    x = cut(stats.salaries(s, d), "salaries")
+    g, v = outliers.remove(x), cut(outliers.remove_by_level(x), "kept")
+    own = v.filter("level <> 0")
+    return reports.salary_reports(stats.yearly(g, v), stats.yearly(own, own, ["level"]))
+
+
+query("rpt1_salary_reports")(_salary_reports)
+query("loc2_places")(lambda s, d: pipelines.classify_places(table(s, d, "ads").select("id", "text", "location", "work_format"), pipelines.by_words).groupBy("location", "work_format").agg(F.count(F.lit(1)).alias("n")))
+query("pip1_backfilled_stacks")(lambda s, d: pipelines.PIPELINES.run(["backfill-stacks"], {n: table(s, d, n) for n in ("ads", "messages")})["ads"].groupBy("stack_id").agg(F.count(F.lit(1)).alias("n")))

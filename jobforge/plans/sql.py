@@ -83,7 +83,7 @@ def yearly(extremes: str, middles: str, groups: str = "") -> str:
 mids AS (SELECT {g}year(date)::INT AS year, (lo + hi) / 2 AS mid FROM {middles} WHERE {nonzero("lo")} AND {nonzero("hi")}),
 {lists("mid_l", "mids", using, "mid")},
 mean AS (SELECT {using}, avg(mid) AS mean FROM mids GROUP BY ALL)
-SELECT {using}, round(min_lower, 6) AS min_lower, round(max_upper, 6) AS max_upper, round(mean, 6) AS mean, round({r8("l", 0.5)}, 6) AS median
+SELECT {using}, round(min_lower + 1e-7, 3) AS min_lower, round(max_upper + 1e-7, 3) AS max_upper, round(mean + 1e-7, 3) AS mean, round({r8("l", 0.5)} + 1e-7, 3) AS median
 FROM ext FULL JOIN mean USING ({using}) FULL JOIN mid_l USING ({using}) WHERE min_lower IS NOT NULL OR max_upper IS NOT NULL OR mean IS NOT NULL"""
 
 
@@ -102,13 +102,13 @@ DECILES = (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90",
 
 def statistics(source: str, groups: str = "") -> str:
     g = f"{groups}, " if groups else ""
-    cols = ", ".join(f"round({r8('l', q)}, 6) AS {n}" for n, q in DECILES)
+    cols = ", ".join(f"round({r8('l', q)} + 1e-7, 3) AS {n}" for n, q in DECILES)
     return f"""mids AS (SELECT {g}{MID} AS mid FROM {source}), {lists("ml", "mids", groups, "mid")}
-SELECT {g}len(l)::BIGINT AS n, round(list_avg(l), 6) AS mean, {cols} FROM ml WHERE len(l) > 0"""
+SELECT {g}len(l)::BIGINT AS n, round(list_avg(l) + 1e-7, 3) AS mean, {cols} FROM ml WHERE len(l) > 0"""
 
 
 def comparison(source: str, groups: str) -> str:
-    cols = ", ".join(f"coalesce(round({r8('l', q)}, 6), 'NaN'::DOUBLE) AS {n}" for n, q in DECILES)
+    cols = ", ".join(f"coalesce(round({r8('l', q)} + 1e-7, 3), 'NaN'::DOUBLE) AS {n}" for n, q in DECILES)
     using = ", ".join(f"c.{x.strip()}" for x in groups.split(","))
     on = " AND ".join(f"ml.{x.strip()} IS NOT DISTINCT FROM c.{x.strip()}" for x in groups.split(","))
     return f"""mids AS (SELECT {groups}, {MID} AS mid FROM {source}), {lists("ml", "mids", groups, "mid", "mid > 0")},
