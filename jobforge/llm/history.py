@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import cut, list_names, new_path, settings, table, tidy
+from jobforge.functions.session import cut, list_names, new_path, remove, settings, table, tidy
 from jobforge.llm import fingerprint as fp
 from jobforge.llm.near_dup import FIRST_BITS, OTHER_BITS, verified
 
 SHARE, LEAST = 0.35, 4
 CHUNK = 1 << 12
-SCHEMA = "id string, created_at timestamp, date date, tid binary, n int, s0 long, s1 long, s2 long, packed binary, tokens array<int>"
+SCHEMA = "id string, created_at timestamp, date date, tid binary, n int, s0 long, s1 long, s2 long, packed binary"
 
 
 def token_counts(texts: DataFrame) -> np.ndarray:
@@ -61,6 +61,9 @@ class HistoryIndex:
         names = [n for n in list_names(self.spark, f"{self.path}/{what}") if n.startswith("b=")]
         return sorted((n for n in names if "_SUCCESS" in list_names(self.spark, f"{self.path}/{what}/{n}")), key=lambda n: int(n[2:]))
 
+    def _texts(self, batches: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/texts/{b}/kind=0" for b in batches))
+
     def _postings(self, batch: str) -> DataFrame:
         """A batch's postings as a bucketed table, so that joins on the token need no shuffle."""
         at = f"{self.path}/postings/{batch}"
@@ -73,8 +76,8 @@ class HistoryIndex:
         at = f"{self.path}/postings/{batch}"
         name = "postings_" + hashlib.md5(at.encode()).hexdigest()[:16]
         rows = made.select(F.explode("tokens").alias("token"), "s0").repartition(self.buckets, "token")
-        with tidy(self.spark):
-            rows.write.bucketBy(self.buckets, "token").sortBy("token").option("path", at).option("parquet.enable.dictionary", "false").format("parquet").saveAsTable(name)
+        with tidy(self.spark):  # sorted tokens are kept as differences
+            rows.write.bucketBy(self.buckets, "token").sortBy("token").option("path", at).option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2").format("parquet").saveAsTable(name)
 
     def _counters(self, texts: DataFrame) -> np.ndarray:
         if self._df is None:
@@ -107,12 +110,17 @@ class HistoryIndex:
                 lens[fresh], toks = fp.prefixes([t for t, f in zip(texts, fresh, strict=True) if f], counters.value, SHARE, LEAST)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(toks.view(np.int32)))
                 cols = {"id": ids, "created_at": stamps, "date": days, "tid": pa.array(tids, pa.binary()), "n": pa.array(fp.sizes(texts).astype(np.int32))}
-                cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary()), "tokens": lists}
-                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-        slim.mapInArrow(fingerprints, SCHEMA).write.parquet(f"{self.path}/texts/{this}")
-        mine = spark.read.schema(SCHEMA).parquet(f"{self.path}/texts/{this}")
-        self._write_postings(mine, this)
+                cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary())}
+                none, kind = (lambda a: pa.nulls(len(a), a.type)), (lambda k: pa.array([k] * len(texts), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*cols.values(), none(lists), kind(0)], [*cols, "tokens", "kind"])
+                yield pa.RecordBatch.from_arrays([a if c == "s0" else none(a) for c, a in cols.items()] + [lists, kind(1)], [*cols, "tokens", "kind"])
+
+        # one pass writes both: the texts, which stay, and the tokens, which go once they are postings
+        at = f"{self.path}/texts/{this}"
+        slim.mapInArrow(fingerprints, SCHEMA + ", tokens array<int>, kind int").write.partitionBy("kind").parquet(at)
+        self._write_postings(spark.read.schema("s0 long, tokens array<int>").parquet(f"{at}/kind=1"), this)
+        remove(spark, f"{at}/kind=1")
+        mine = self._texts([this])
         own = self._postings(this)
         x = own.alias("x")
 
@@ -127,7 +135,7 @@ class HistoryIndex:
         met = within.select(F.inline(F.array(F.struct("s0", "t0"), F.struct(F.col("t0").alias("s0"), F.col("s0").alias("t0")))))
         for o in old:
             met = met.unionByName(meetings(self._postings(o), F.col("x.s0") != F.col("y.s0")))
-        history = spark.read.schema(SCHEMA).parquet(*(f"{self.path}/texts/{b}" for b in old)) if old else None
+        history = self._texts(old) if old else None
         return self._repeats(met.distinct(), mine, history)
 
     def _repeats(self, met: DataFrame, mine: DataFrame, history: DataFrame | None) -> DataFrame:
