@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobforge.functions import hashing, text
-from jobforge.functions.session import cut, guid, table
+from jobforge.functions.session import cut, table
 from jobforge.operators import combine, levels, merge, minhash, outliers, rates, salary, stats
 from jobforge.operators.delivery import plain_chat_id
 from jobforge.plans import pipelines, reports
 from jobforge.plans import sql as S
+from jobforge.sources import files
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -233,11 +234,7 @@ query("snk7_mark_unique")(lambda s, d: minhash.mark_unique(table(s, d, "ads"), m
 
 # tags and salaries ---------------------------------------------------------------------------------------------------------------------------
 query("lvl3_message_levels")(levels.message_levels)
-query("lvl5_backfill")(
-    lambda s, d: (lambda m: merge.update_where(table(s, d, "salaries").distinct().join(m, "ad_id", "left").withColumn("level", F.when((F.col("level") == 0) & (F.coalesce("new", F.lit(0)) > 0), F.col("new")).otherwise(F.col("level"))).drop("new"), m.limit(0).withColumnRenamed("new", "level"), "ad_id", ["level"]).groupBy("level").agg(F.count(F.lit(1)).alias("n")))(
-        table(s, d, "ads").select(F.col("id").alias("ad_id"), "message_id").join(table(s, d, "messages").select(F.col("id").alias("message_id"), levels.resolve_level(F.col("tags")).alias("new")), "message_id").groupBy("ad_id").agg(F.max("new").alias("new"))
-    )
-)
+query("lvl5_backfill")(lambda s, d: pipelines.PIPELINES.run(["update-levels"], {n: table(s, d, n).distinct() if n == "salaries" else table(s, d, n) for n in ("ads", "messages", "salaries")})["salaries"].groupBy("level").agg(F.count(F.lit(1)).alias("n")))
 _B = lambda c: f"CASE WHEN {c} IS NULL OR {c} = -1 THEN 'NaN'::DOUBLE ELSE {c} END"
 query("sal_normalized", _with(S.RATES) + f""", s AS (SELECT DISTINCT id, ad_id, date, currency, lower_bound, upper_bound, period FROM salaries), b AS (SELECT *, {_B("lower_bound")} AS l, {_B("upper_bound")} AS u FROM s),
 o AS (SELECT *, CASE WHEN {S.nan("l")} THEN u WHEN {S.nan("u")} THEN l ELSE least(l, u) END AS lo, CASE WHEN {S.nan("u")} THEN l WHEN {S.nan("l")} THEN u ELSE greatest(l, u) END AS hi FROM b),
@@ -267,11 +264,11 @@ SELECT coalesce(c.telegram_id, i.telegram_id) AS telegram_id, c.name, coalesce(i
 query("snk8_update_places", "WITH c AS (SELECT a.id, max(s.level) AS lv FROM ads a JOIN salaries s ON s.ad_id = a.id GROUP BY ALL) SELECT a.id, CASE WHEN a.location = 0 AND c.lv > 0 THEN c.lv ELSE a.location END::INT AS location FROM ads a LEFT JOIN c USING (id)")(
     lambda s, d: merge.update_where(table(s, d, "ads").select("id", "location"), table(s, d, "salaries").groupBy(F.col("ad_id").alias("id")).agg(F.max("level").alias("lv")).select("id", F.when(F.col("lv") > 0, F.col("lv")).alias("location")), "id", ["location"], F.col("location") == 0).withColumn("location", F.col("location").cast("int"))
 )
-query("snk11_migrate_ids", f"SELECT {S.guid('stack_id')} AS stack_id, count(*) AS n FROM ads GROUP BY ALL")(
-    lambda s, d: (lambda a: merge.migrate_ids(a, a.select(F.col("stack_id").alias("old")).distinct().withColumn("new", guid(F.col("old"))).filter("old <> new").limit(0), "stack_id").withColumn("stack_id", guid(F.col("stack_id"))).groupBy("stack_id").agg(F.count(F.lit(1)).alias("n")))(table(s, d, "ads").select("id", "stack_id"))
+query("snk11_migrate_ids")(
+    lambda s, d: merge.migrate_ids(stats.ads(s, d).select("id", "stack_id"), table(s, d, "technology_stacks").select(F.col("id").alias("old"), hashing.name_guid(NAMESPACE, F.lower(F.trim("name"))).alias("new")), "stack_id").groupBy("stack_id").agg(F.count(F.lit(1)).alias("n"))
 )
 query("snk15_finite_json", f"SELECT count(*) AS n FROM salaries WHERE {S.nan('lower_bound_normalized')} OR {S.nan('upper_bound_normalized')}")(
-    lambda s, d: __import__("jobforge.sources.files", fromlist=["finite_json"]).finite_json(table(s, d, "salaries").select("id", F.col("lower_bound_normalized").alias("l"), F.col("upper_bound_normalized").alias("u"))).filter("get_json_object(json, '$.l') IS NULL OR get_json_object(json, '$.u') IS NULL").agg(F.count(F.lit(1)).alias("n"))
+    lambda s, d: files.finite_json(table(s, d, "salaries").select("id", F.col("lower_bound_normalized").alias("l"), F.col("upper_bound_normalized").alias("u"))).filter("get_json_object(json, '$.l') IS NULL OR get_json_object(json, '$.u') IS NULL").agg(F.count(F.lit(1)).alias("n"))
 )
 
 # recombination ---------------------------------------------------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from jobforge.operators import delivery, hotkeys, units
-from jobforge.plans import reference, sql
+from jobforge.plans import base, sql
 
 
 G, C = sql.guid("stack_id"), sql.CHAT
@@ -55,7 +55,7 @@ SELECT salary_id, currency, period, scale, round(lower_bound * scale * rate * {f
 
 
 def queries() -> dict:
-    return reference.Q | {
+    return base.Q | {
         "p2_found": hotkeys.found, "p2_stacks": hotkeys.summaries,
         "p5_found": delivery.found, "p5_chats": delivery.per_chat,
         "p7_found": units.found, "p7_common": units.common_units,
@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return reference.SQL | {"p2_found": P2, "p2_stacks": P2_STACKS, "p5_found": P5, "p5_chats": P5_CHATS, "p7_found": p7(), "p7_common": p7_common()}
+    return base.SQL | {"p2_found": P2, "p2_stacks": P2_STACKS, "p5_found": P5, "p5_chats": P5_CHATS, "p7_found": p7(), "p7_common": p7_common()}
