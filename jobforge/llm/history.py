@@ -118,6 +118,9 @@ class HistoryIndex:
         # one pass writes both: the texts, which stay, and the tokens, which go once they are postings
         at = f"{self.path}/texts/{this}"
         slim.mapInArrow(fingerprints, SCHEMA + ", tokens array<int>, kind int").write.partitionBy("kind").parquet(at)
+        if "kind=1" not in list_names(spark, at):  # no usable text
+            remove(spark, at)
+            return spark.createDataFrame([], "id string")
         self._write_postings(spark.read.schema("s0 long, tokens array<int>").parquet(f"{at}/kind=1"), this)
         remove(spark, f"{at}/kind=1")
         mine = self._texts([this])

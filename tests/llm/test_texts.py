@@ -17,9 +17,9 @@ def norm(t):
     return regex.sub(r"[^\p{L}\p{N}]+", " ", (t or "").lower()).strip()
 
 
-def jac(a, b):
-    x, y = ({norm(t)[i : i + 5] for i in range(len(norm(t)) - 4)} for t in (a, b))
-    return len(x & y) / len(x | y) if x | y else 0.0
+def sets(t):
+    n = norm(t)
+    return {n[i : i + 5] for i in range(len(n) - 4)}
 
 
 def corpus(n=90, seed=4):
@@ -46,8 +46,13 @@ def corpus(n=90, seed=4):
 
 
 def truth(rows):
-    uniq = {r[0]: r for r in rows}
-    return {tuple(sorted((a, b))) for a, b in itertools.combinations(uniq, 2) if jac(uniq[a][3], uniq[b][3]) >= 0.7}
+    own = {r[0]: sets(r[3]) for r in rows}
+    out = set()
+    for a, b in itertools.combinations(own, 2):
+        x, y = own[a], own[b]
+        if min(len(x), len(y)) >= 0.7 * max(len(x), len(y), 1) and x and len(x & y) >= 0.7 * len(x | y):
+            out.add(tuple(sorted((a, b))))
+    return out
 
 
 @pytest.fixture(scope="module")
