@@ -87,11 +87,9 @@ def signature(hashes: np.ndarray, masks: np.ndarray, bits: int) -> np.ndarray:
     """Minwise signature of hashed shingles; all ones for none."""
     if not len(hashes):
         return np.full(len(masks), EMPTY, np.uint32)
-    x = (np.uint32(FNV_OFFSET) ^ np.unique(hashes)) * np.uint32(FNV_PRIME)
-    out = np.empty(len(masks), np.uint32)
-    for i, a in enumerate(masks):
-        out[i] = ((x ^ a) * np.uint32(FNV_PRIME) >> np.uint32(32 - bits)).min()
-    return out
+    x = (np.uint32(FNV_OFFSET) ^ hashes) * np.uint32(FNV_PRIME)
+    # repeated shingles don't change a minimum; the shift keeps order, so it follows it
+    return ((x[None, :] ^ masks[:, None]) * np.uint32(FNV_PRIME)).min(axis=1) >> np.uint32(32 - bits)
 
 
 def band_keys(sig: np.ndarray, bands: int) -> list[str]:
