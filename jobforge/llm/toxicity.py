@@ -233,7 +233,11 @@ def fit(texts: list[str], labels: list[str], rounds: int = 120, l2: float = 0.02
     lexicon = frozenset(w for d, b in zip(rough, bad, strict=True) if b for w in d if len(w) > 3 and clean[w] <= 3)
     words = Words(lexicon)
     docs = [words(t)[0] for t, _ in use]
-    ys = distant_labels(docs, bad)
+    clean_lines = [words(t)[0] for t, ranges in seeds() if not ranges]
+    ys = distant_labels([*docs, *clean_lines], [*bad, *[False] * len(clean_lines)])[: len(docs)]
+    # an offending text in which no word could be labelled says nothing about its words
+    told = [i for i, (y, b) in enumerate(zip(ys, bad, strict=True)) if y.any() or not b]
+    docs, ys = [docs[i] for i in told], [ys[i] for i in told]
     for text, ranges in seeds():
         d, at, _ = words(text)
         docs.append(d)

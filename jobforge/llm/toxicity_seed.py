@@ -86,6 +86,8 @@ OFFENDING = """
 [[i will show you my whole body on camera]]
 [[slowly take off everything i wear]]
 [[hot girls, hourly rate, discreet sex]]
+[[send me nudes]], [[i want sex with you]]
+[[send me your naked photos tonight]]
 [[she took off her panties and moaned]]
 """
 CLEAN = """
@@ -126,6 +128,8 @@ for i in range 10 print x i
 profile slow endpoints and design schemas
 join via the link, seats left
 прошёл собес, спрашивали очереди и кэши
+рассказал, зачем работать со старыми системами
+спросили, зачем писать тесты и зачем читать чужой код
 на собесе спрашивали паразитные связи и мусор в памяти
 """
 
