@@ -155,25 +155,72 @@ def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 44-bit hash) of every text's distinct shingles."""
+    cp, doc, at = _flat(texts)
+    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    n = max(len(cp) - SHINGLE + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * U(0x100000001B3) + cp[k : k + n]
+    ok = at[:n] + SHINGLE <= lens[doc[:n]]
+    h, d = mix(h[ok]), doc[:n][ok]
+    # texts are told apart by the high bits, shingles of a text by the other 44
+    u = np.sort((d.astype(np.uint64) << U(44)) | (h >> U(20)))
+    u = u[np.concatenate(([True], u[1:] != u[:-1]))] if len(u) else u
+    return (u >> U(44)).astype(np.int64), u & U((1 << 44) - 1)
+
+
 def sizes(texts: list[str]) -> np.ndarray:
     """Number of distinct shingles of every text (by 64-bit hash)."""
-    out = []
-    for a, b in groups(texts):
-        cp, doc, at = _flat(texts[a:b])
-        lens = np.fromiter((len(t) for t in texts[a:b]), np.int64, b - a)
-        n = max(len(cp) - SHINGLE + 1, 0)
-        h = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
-            h = h * U(0x100000001B3) + cp[k : k + n]
-        ok = at[:n] + SHINGLE <= lens[doc[:n]]
-        h, d = mix(h[ok]), doc[:n][ok]
-        # texts are told apart by the high bits, shingles of a text by the other 44
-        u = np.sort((d.astype(np.uint64) << U(44)) | (h >> U(20)))
-        u = u[np.concatenate(([True], u[1:] != u[:-1]))] if len(u) else u
-        out.append(np.bincount((u >> U(44)).astype(np.int64), minlength=b - a))
+    out = [np.bincount(_distinct(texts[a:b])[0], minlength=b - a) for a, b in groups(texts)]
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+#: Bits of the smallest and the largest parity map; a map has at least two bits for three shingles up to the largest.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 15
+
+
+def parities(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
+    """Sizes and parity maps of the shingle sets: a bit is set where an odd number of shingles falls on it. Two maps never differ in more bits
+    than the sets have shingles not in common; folding a map in half by exclusive or gives the map of half the width."""
+    ns, maps = [], []
+    for a, b in groups(texts):
+        d, h = _distinct(texts[a:b])
+        n = np.bincount(d, minlength=b - a)
+        width = np.full(b - a, LEAST_BITS)
+        while (more := (n > 1.5 * width) & (width < MOST_BITS)).any():
+            width[more] *= 2
+        ends = np.cumsum(width)
+        odd = np.bincount(ends[d] - width[d] + (h & (width[d] - 1).astype(np.uint64)).astype(np.int64), minlength=ends[-1]) & 1
+        packed = np.packbits(odd.astype(np.uint8)).tobytes()
+        maps += [packed[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
+        ns.append(n)
+    return (np.concatenate(ns) if ns else np.zeros(0, np.int64)), maps
+
+
+def reachable(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and of y (maps as 64-bit words, with sizes n and m) that may be similar. Sets with Jaccard t have (1 - t) / (1 + t) of their
+    summed sizes not in common, so no similar pair is left out; two more bits allow for shingles of equal hash."""
+    w = min(x.shape[1], y.shape[1])
+    x, y = (np.bitwise_xor.reduce(z.reshape(len(z), -1, w), axis=1) for z in (x, y))
+    y, step = np.ascontiguousarray(y.T), 16
+    part = (1 - THRESHOLD) / (1 + THRESHOLD)
+    words, ones = np.empty((step, y.shape[1]), np.uint64), np.empty((step, y.shape[1]), np.uint8)
+    i, j = [], []
+    for a in range(0, len(x), step):
+        own = x[a : a + step]
+        differ, b, c = np.zeros((len(own), y.shape[1]), np.uint16), words[: len(own)], ones[: len(own)]
+        for k in range(w):
+            np.bitwise_xor(own[:, k, None], y[k], out=b)
+            np.bitwise_count(b, out=c)
+            differ += c
+        r, s = np.nonzero(differ <= (part * (n[a : a + step, None] + m) + 2).astype(np.int32))
+        i.append(r + a)
+        j.append(s)
+    return np.concatenate(i), np.concatenate(j)
+
+
 #: Latin letters that stand in for Cyrillic ones in edited copies, and ё, for tokens only. Fixed values.
 _FOLD = np.arange(0x500, dtype=np.uint64)
 for _a, _b in zip("aceopxyё", "асеорхуе", strict=True):

@@ -2,9 +2,12 @@
 
 Tokens are runs of five words (32-bit hashes). The order of rarity is frozen from the first batch: hashed counters of a fixed size, so an order
 that never moves an old posting. Of every text the prefix is indexed that two texts with SHARE of the larger one's tokens in common can't
-both miss, lengthened so that they meet in LEAST tokens; texts similar by the character measure had 0.40 or more in common where measured, so SHARE leaves a margin. Postings are
-bucketed by token; a batch's prefixes probe them, sketches and the lengths' ratio sort out chance meetings, the texts decide, and
-the batch's own postings are appended. Old texts are neither read nor tokenised again, save those that a candidate pair names.
+both miss, lengthened so that they meet in LEAST tokens. Postings are bucketed by token; a batch's prefixes probe them, sketches and the lengths'
+ratio sort out chance meetings, the texts decide, and the batch's own postings are appended.
+
+Word runs say nothing certain about the character measure (small edits spread over a text leave no run whole), and sketches may be off, so
+what is not found that way is compared with every text through parity maps, whose distance bounds the measure: no similar pair is left out.
+That second way grows with batch times history; it reads maps only, and texts of the pairs that pass.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from jobforge.llm.near_dup import FIRST_BITS, OTHER_BITS, verified
 
 SHARE, LEAST = 0.35, 4
 CHUNK = 1 << 12
-SCHEMA = "id string, created_at timestamp, date date, tid binary, n int, s0 long, s1 long, s2 long, packed binary"
+#: Texts a block of parity maps has at most, and texts a partition of them has.
+BLOCK, BLOCKED = 1 << 12, 1 << 13
+SCHEMA = "id string, created_at timestamp, date date, tid binary, n int, s0 long, s1 long, s2 long, packed binary, parity binary"
 
 
 def token_counts(texts: DataFrame) -> np.ndarray:
@@ -109,8 +114,9 @@ class HistoryIndex:
                 lens = np.zeros(len(texts), np.int64)
                 lens[fresh], toks = fp.prefixes([t for t, f in zip(texts, fresh, strict=True) if f], counters.value, SHARE, LEAST)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(toks.view(np.int32)))
-                cols = {"id": ids, "created_at": stamps, "date": days, "tid": pa.array(tids, pa.binary()), "n": pa.array(fp.sizes(texts).astype(np.int32))}
-                cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary())}
+                n, maps = fp.parities(texts)
+                cols = {"id": ids, "created_at": stamps, "date": days, "tid": pa.array(tids, pa.binary()), "n": pa.array(n.astype(np.int32))}
+                cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary()), "parity": pa.array(maps, pa.binary())}
                 none, kind = (lambda a: pa.nulls(len(a), a.type)), (lambda k: pa.array([k] * len(texts), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*cols.values(), none(lists), kind(0)], [*cols, "tokens", "kind"])
                 yield pa.RecordBatch.from_arrays([a if c == "s0" else none(a) for c, a in cols.items()] + [lists, kind(1)], [*cols, "tokens", "kind"])
@@ -165,10 +171,74 @@ class HistoryIndex:
         hit = cut(verified(best.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid")), "hits")
         rest = pairs.join(hit, "tid", "left_anti").join(best, ["tid", "b"], "left_anti")
         more = verified(rest.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid"))
-        repeated = hit.unionByName(more).distinct().withColumn("near_dup", F.lit(True))
+        hit = cut(hit.unionByName(more).distinct(), "repeated")
+        far = self._unmet(slim, hit, every)
+        repeated = hit.unionByName(far).distinct().withColumn("near_dup", F.lit(True))
         marked = slim.filter("fresh").select("tid", "first").join(repeated, "tid", "left")
         return mine.select("id", "tid", order.alias("own")).join(marked, "tid").filter((F.col("own") > F.col("first")) | F.col("near_dup")).select("id").distinct()
 
+    def _unmet(self, slim: DataFrame, hit: DataFrame, every: DataFrame) -> DataFrame:
+        """(tid): the batch's texts not in ``hit`` that are similar to an earlier one, by comparison with all texts."""
+        spark = self.spark
+        maps = every.groupBy("tid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+        open_ = slim.filter("fresh").select("tid").join(hit, "tid", "left_anti").withColumn("probe", F.lit(True))
+        marked = cut(maps.join(open_, "tid", "left").select("tid", "n", "parity", F.coalesce("probe", F.lit(False)).alias("probe")), "maps")
+        sizes = {r.probe: r.c for r in marked.groupBy("probe").agg(F.count(F.lit(1)).alias("c")).collect()}
+        if True not in sizes:
+            return hit.limit(0)
+        parts = [marked.filter(F.col("probe") == p).repartitionByRange(-(-c // BLOCKED), "n").sortWithinPartitions("n").mapInArrow(_blocks, BLOCKS) for p, c in sizes.items()]
+        blocks = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        # a partition a file, and few blocks a batch: they are up to a megabyte and more
+        with settings(spark, spark__sql__files__openCostInBytes="1g", spark__sql__execution__arrow__maxRecordsPerBatch="8"):
+            blocks = cut(blocks, "blocks")
+            x, y = blocks.alias("x"), blocks.hint("shuffle_replicate_nl").alias("y")
+            reach = (F.col("y.high") >= fp.THRESHOLD * F.col("x.low") - 1) & (F.col("x.high") >= fp.THRESHOLD * F.col("y.low") - 1)
+            once = F.col("x.probe") & (~F.col("y.probe") | (F.col("x.name") <= F.col("y.name")))
+            both = x.join(y, reach & once).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("tids", "sizes", "maps")))
+            pairs = cut(both.mapInArrow(_reachable, "a binary, b binary"), "reachable")
+        first = slim.select("tid", "first")
+        ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        later = ways.join(open_.select(F.col("tid").alias("a")), "a", "left_semi")
+        later = later.join(first.select(F.col("tid").alias("a"), "first"), "a").join(first.select(F.col("tid").alias("b"), F.col("first").alias("earlier")), "b")
+        return verified(cut(later.filter("earlier < first").select("a", "b").distinct(), "unmet"), every).select(F.col("a").alias("tid"))
+
+
+BLOCKS = "name binary, probe boolean, low int, high int, tids binary, sizes binary, maps binary"
+
+
+def _blocks(batches):
+    """Consecutive texts with maps of one width as one row, named by its first text."""
+
+    def row(own):
+        return dict(zip(("name", "probe", "low", "high", "tids", "sizes", "maps"), (own[0][0], own[0][3], min(r[1] for r in own), max(r[1] for r in own), b"".join(r[0] for r in own), np.array([r[1] for r in own], "<i4").tobytes(), b"".join(r[2] for r in own)), strict=True))
+
+    kinds = [("name", pa.binary()), ("probe", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("tids", pa.binary()), ("sizes", pa.binary()), ("maps", pa.binary())]
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in ("tid", "n", "parity", "probe")), strict=True):
+            if held and (len(held) == BLOCK or len(held[0][2]) != len(r[2])):
+                yield pa.RecordBatch.from_pylist([row(held)], pa.schema(kinds))
+                held = []
+            held.append(r)
+    if held:
+        yield pa.RecordBatch.from_pylist([row(held)], pa.schema(kinds))
+
+
+def _reachable(batches):
+    """Pairs of texts of two blocks that may be similar."""
+
+    def block(r: dict, s: str):
+        n = np.frombuffer(r[f"{s}_sizes"], "<i4")
+        return np.frombuffer(r[f"{s}_tids"], "V16"), n, np.frombuffer(r[f"{s}_maps"], np.uint64).reshape(len(n), -1)
+
+    for b in batches:
+        for k in range(b.num_rows):
+            r = b.slice(k, 1).to_pylist()[0]
+            (t, n, x), (u, m, y) = block(r, "x"), block(r, "y")
+            i, j = fp.reachable(x, n, y, m)
+            keep = (np.minimum(n[i], m[j]) >= fp.THRESHOLD * np.maximum(n[i], m[j]) - 1) & (t[i] != u[j])
+            yield pa.RecordBatch.from_arrays([pa.array([z.tobytes() for z in v[keep]], pa.binary()) for v in (t[i], u[j])], ["a", "b"])
+
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_found: ads whose text is similar to an earlier ad's. The history and the later runs come as two batches; within a batch the order decides,

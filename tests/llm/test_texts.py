@@ -116,3 +116,29 @@ def test_a_long_chain_is_one_class(spark):
     e = [(a, b) for a, b in zip(n, n[1:], strict=False)]
     both = spark.createDataFrame(e + [(b, a) for a, b in e], "id_1 string, id_2 string")
     assert {r.label for r in near_dup.connected(both).collect()} == {"n000"}
+
+
+def test_scattered_edits_leave_no_run_but_are_found(spark):
+    rnd = random.Random(7)
+    letters = "абвгдежзиклмнопрст"
+    rows = []
+    for i in range(30):
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(7, 10))) for _ in range(2000 if i == 0 else 80)]
+        edited = [w[:-1] + "ю" if k % 5 == 0 else w for k, w in enumerate(words)]
+        for run, w in ((1, words), (1 + i % 2, edited)):
+            rows.append((f"{i:02}{'ab'[w is edited]}", dt.datetime(2024, run, 1), dt.date(2024, 1, 1), " ".join(w), "", ""))
+    want = sorted({max(p) for p in truth(rows)})
+    assert len(want) > 25 and "00b" in want
+    assert sorted(r.id for r in history.repeats(spark, [spark.createDataFrame(rows, A)], split=True).collect()) == want
+
+
+def test_parity_maps_bound_the_measure(rows, pairs):
+    ids, texts = zip(*((i, t) for i, t in zip([r[0] for r in rows], fp.normalised([r[3] for r in rows]), strict=True) if len(t) >= 5), strict=True)
+    n, maps = fp.parities(list(texts))
+    assert n.tolist() == [len(sets(t)) for t in texts]
+    got = set()
+    for width in {len(m) for m in maps}:
+        at = [k for k, m in enumerate(maps) if len(m) == width]
+        z = fp.np.array([fp.np.frombuffer(maps[k], fp.np.uint64) for k in at])
+        got |= {tuple(sorted((ids[at[i]], ids[at[j]]))) for i, j in zip(*fp.reachable(z, n[at], z, n[at]), strict=True)}
+    assert pairs <= got
