@@ -25,8 +25,8 @@ def plain_chat_id(c: Column) -> Column:
 
 
 def partition_of(months: Column, key: tuple[str, str] = KEY, salt: int = 8) -> Column:
-    """Month of first arrival and a salt of the identifier, so that one hot chat fills several partitions."""
-    return F.concat(F.date_format(months, "yyyyMM"), F.lit("-"), F.pmod(F.xxhash64(*key), F.lit(salt)).cast("string"))
+    """Month of first arrival (000000 where none is known) and a salt of the identifier, so that one hot chat fills several partitions."""
+    return F.concat(F.coalesce(F.date_format(months, "yyyyMM"), F.lit("000000")), F.lit("-"), F.pmod(F.xxhash64(*key), F.lit(salt)).cast("string"))
 
 
 class PostStore:
@@ -103,25 +103,36 @@ class PostStore:
 
 
 def load_store(spark: SparkSession, messages: DataFrame, path: str | None = None) -> PostStore:
-    """Bring a whole table into a store as two batches: the first import run, which is the history, and all later runs."""
+    """Bring a whole table into a store as two batches: the first import run, which is the history, and all later runs. Rows without a run
+    belong to the first."""
     store = PostStore(spark, path or new_path(spark, "posts"))
     first = messages.agg(F.min("created_at")).collect()[0][0]
     if first is None:
+        store.upsert(messages)
         return store
-    store.upsert(messages.filter(F.col("created_at") == F.lit(first)))
+    store.upsert(messages.filter(F.col("created_at").isNull() | (F.col("created_at") == F.lit(first))))
     store.upsert(messages.filter(F.col("created_at") > F.lit(first)))
     return store
 
 
+def _delivered(spark: SparkSession, messages: DataFrame) -> DataFrame:
+    """(chat, message, deliveries) of every post of a table; no rows where it has none."""
+    posts = load_store(spark, messages).posts()
+    if posts is None:
+        kinds = ", ".join(f"{c} {messages.schema[c].dataType.simpleString()}" for c in KEY[1:])
+        posts = spark.createDataFrame([], f"{KEY[0]} bigint, {kinds}, deliveries bigint")
+    return posts.select(*KEY, "deliveries")
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p5_found: the posts delivered more than once."""
-    posts = load_store(spark, table(spark, sf_dir, "messages")).posts()
+    posts = _delivered(spark, table(spark, sf_dir, "messages"))
     return posts.filter("deliveries > 1").select(*KEY)
 
 
 def per_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p5_chats: per chat the posts, their deliveries and the rows that can't be identified."""
     m = table(spark, sf_dir, "messages")
-    posts = load_store(spark, m).posts().select("telegram_chat_id", F.lit(1).alias("posts"), "deliveries", F.lit(0).alias("unidentified"))
+    posts = _delivered(spark, m).select("telegram_chat_id", F.lit(1).alias("posts"), "deliveries", F.lit(0).alias("unidentified"))
     rest = PostStore.unidentified(m).select(plain_chat_id(F.col("telegram_chat_id")).alias("telegram_chat_id"), F.lit(0).alias("posts"), F.lit(0).cast("long").alias("deliveries"), F.lit(1).alias("unidentified"))
     return posts.unionByName(rest).groupBy("telegram_chat_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("posts", "deliveries", "unidentified")))

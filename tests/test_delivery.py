@@ -1,6 +1,6 @@
 import datetime as dt
 
-from jobforge.operators.delivery import PostStore, load_store
+from jobforge.operators.delivery import PostStore, found, load_store, per_chat
 
 M = "id string, telegram_chat_id long, telegram_message_id long, telegram_message_date timestamp, created_at timestamp, updated_at timestamp, part int, deliveries string"
 
@@ -36,3 +36,19 @@ def test_whole_table_hot_chat_and_empty(spark):
     store = load_store(spark, spark.createDataFrame(rows, M))
     assert store.posts().count() == 40 and store.posts().selectExpr("sum(deliveries)").first()[0] == 400
     assert load_store(spark, spark.createDataFrame([], M)).posts() is None
+
+
+def test_posts_without_a_run_count(spark, tmp_path):
+    def unrun(*r):
+        x = row(*r)
+        return (*x[:4], None, *x[5:])
+
+    mixed = [row("a", 1, 1, 1), unrun("b", 1, 1, 1), unrun("c", 1, 2, 1), unrun("d", 1, 2, 2), row("e", 1, 3, 2), unrun("f", 1, None, 1)]
+    for name, rows, want, chats in (
+        ("mixed", mixed, {(1, 1), (1, 2)}, {(1, 3, 5, 1)}),
+        ("none", [unrun("a", 1, 1, 1), unrun("b", 1, 1, 2), unrun("c", 2, 1, 2)], {(1, 1)}, {(1, 1, 2, 0), (2, 1, 1, 0)}),
+        ("empty", [], set(), set()),
+    ):
+        spark.createDataFrame(rows, M).write.parquet(f"file://{tmp_path}/{name}/messages.parquet")
+        assert {tuple(r) for r in found(spark, f"file://{tmp_path}/{name}").collect()} == want
+        assert {tuple(r) for r in per_chat(spark, f"file://{tmp_path}/{name}").collect()} == chats
