@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: Used when, and only when, the session names no shared folder (tests, single machine).
 _FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: Paths that the open scopes own, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where it is unset and the master is local; else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="jobforge-")
@@ -56,11 +61,45 @@ def tidy(spark: SparkSession):
 
 
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors. Within ``scratch`` the table goes at its end."""
     path = new_path(df.sparkSession, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     with tidy(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``cut`` writes meanwhile are removed at the end, but for those handed to ``keep``; what is used later may rest on those only."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            remove(spark, path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A table fresh from ``cut`` outlives the innermost scope and belongs to the one around it, if any."""
+    if _SCOPES and df._cut_path in _SCOPES[-1]:
+        _SCOPES[-1].remove(df._cut_path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(df._cut_path)
+    return df
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Remove a table that ``cut`` wrote and nobody needs any more."""
+    for own in _SCOPES:
+        if df._cut_path in own:
+            own.remove(df._cut_path)
+    remove(df.sparkSession, df._cut_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -120,4 +159,4 @@ def guid(col) -> "F.Column":
     return F.when(F.regexp_like(c, F.lit(r"^\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$")), parts).otherwise(c)
 
 
-__all__ = ["table", "shared_dir", "new_path", "cut", "settings", "tidy", "remove", "write_text", "read_text", "list_names", "num_partitions", "ship", "guid"]
+__all__ = ["table", "shared_dir", "new_path", "cut", "scratch", "keep", "drop_cut", "settings", "tidy", "remove", "write_text", "read_text", "list_names", "num_partitions", "ship", "guid"]
