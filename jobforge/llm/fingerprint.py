@@ -1,4 +1,4 @@
-"""Text fingerprints in numpy: shingle sketches and word-run tokens of many texts at once.
+"""Text fingerprints in numpy: shingle sketches and tokens of many texts at once.
 
 Two texts are similar when the sets of their distinct substrings of five characters, after lower-casing and folding everything but
 letters and digits to single spaces, have an intersection of at least 0.7 of their union. Nothing here decides that; ``similar`` does, exactly.
@@ -177,124 +177,48 @@ def sizes(texts: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-#: Bits of the smallest and the largest parity map; a map has at least two bits for three shingles up to the largest.
-LEAST_BITS, MOST_BITS = 1 << 10, 1 << 15
+#: Tokens of a text, minima that make up one, and tokens that similar texts share at least, but for the probability stated in ``tokens``.
+TOKENS, JOINED, SHARED = 40, 4, 2
+PREFIX = TOKENS - SHARED + 1
+COUNTERS = 1 << 20
 
 
-def parities(texts: list[str]) -> tuple[np.ndarray, list[bytes]]:
-    """Sizes and parity maps of the shingle sets: a bit is set where an odd number of shingles falls on it. Two maps never differ in more bits
-    than the sets have shingles not in common; folding a map in half by exclusive or gives the map of half the width."""
-    ns, maps = [], []
-    for a, b in groups(texts):
-        d, h = _distinct(texts[a:b])
-        n = np.bincount(d, minlength=b - a)
-        width = np.full(b - a, LEAST_BITS)
-        while (more := (n > 1.5 * width) & (width < MOST_BITS)).any():
-            width[more] *= 2
-        ends = np.cumsum(width)
-        odd = np.bincount(ends[d] - width[d] + (h & (width[d] - 1).astype(np.uint64)).astype(np.int64), minlength=ends[-1]) & 1
-        packed = np.packbits(odd.astype(np.uint8)).tobytes()
-        maps += [packed[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
-        ns.append(n)
-    return (np.concatenate(ns) if ns else np.zeros(0, np.int64)), maps
-
-
-def reachable(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x and of y (maps as 64-bit words, with sizes n and m) that may be similar. Sets with Jaccard t have (1 - t) / (1 + t) of their
-    summed sizes not in common, so no similar pair is left out; two more bits allow for shingles of equal hash."""
-    w = min(x.shape[1], y.shape[1])
-    x, y = (np.bitwise_xor.reduce(z.reshape(len(z), -1, w), axis=1) for z in (x, y))
-    y, step = np.ascontiguousarray(y.T), 16
-    part = (1 - THRESHOLD) / (1 + THRESHOLD)
-    words, ones = np.empty((step, y.shape[1]), np.uint64), np.empty((step, y.shape[1]), np.uint8)
-    i, j = [], []
-    for a in range(0, len(x), step):
-        own = x[a : a + step]
-        differ, b, c = np.zeros((len(own), y.shape[1]), np.uint16), words[: len(own)], ones[: len(own)]
-        for k in range(w):
-            np.bitwise_xor(own[:, k, None], y[k], out=b)
-            np.bitwise_count(b, out=c)
-            differ += c
-        r, s = np.nonzero(differ <= (part * (n[a : a + step, None] + m) + 2).astype(np.int32))
-        i.append(r + a)
-        j.append(s)
-    return np.concatenate(i), np.concatenate(j)
-
-
-#: Latin letters that stand in for Cyrillic ones in edited copies, and ё, for tokens only. Fixed values.
-_FOLD = np.arange(0x500, dtype=np.uint64)
-for _a, _b in zip("aceopxyё", "асеорхуе", strict=True):
-    _FOLD[ord(_a)] = ord(_b)
-RUN = 5
-COUNTERS = 1 << 20
+def _filled(values: np.ndarray) -> np.ndarray:
+    """Minima with each empty bin taking the next filled one's value, altered by the distance, so that texts of few shingles have tokens of their own."""
+    out = values.astype(np.uint64)
+    empty = values == 0xFFFFFFFF
+    rows = np.flatnonzero(empty.any(axis=1) & ~empty.all(axis=1))
+    if len(rows):
+        v, e = out[rows], empty[rows]
+        near, far = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+        for k in [*range(v.shape[1] - 1, -1, -1)] * 2:  # the second turn goes round the end
+            own = e[:, k]
+            far = np.where(own, far + U(1), U(0))
+            near = np.where(own, near, v[:, k])
+            v[:, k] = np.where(own, near + (far << U(32)), v[:, k])
+        out[rows] = v
+    return out
 
 
-def word_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, token) of all runs of five words, as 32-bit tokens: letters folded, doubled letters single. A shorter text is one run.
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, s0, s1, s2) of normalised texts: TOKENS 32-bit tokens each, and three 64-bit sketches from other minima than the tokens'.
 
-    An inserted or deleted word, line or typing error changes at most five runs; moving a line changes eight."""
-    cp, doc, at = _flat(texts)
-    cp = np.where(cp < 0x500, _FOLD[np.minimum(cp, 0x4FF).astype(np.int64)], cp)
-    keep = np.ones(len(cp), bool)
-    keep[1:] = (cp[1:] != cp[:-1]) | (cp[1:] == 0)
-    cp, doc = cp[keep], doc[keep]
-    gap = (cp == 32) | (cp == 0)
-    start = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    word = np.cumsum(np.bincount(start, minlength=len(cp))) - 1
-    inner = np.arange(len(cp)) - start[np.maximum(word, 0)]
-    value = np.where(gap, U(0), mix(cp + (inner.astype(np.uint64) << U(32))))
-    w = np.add.reduceat(value, start)
-    wd = doc[start]
-    n = np.bincount(wd, minlength=len(texts))
-    pos = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
-    run = np.zeros(len(w), np.uint64)
-    for k in range(RUN):
-        nxt = np.zeros(len(w), np.uint64)
-        nxt[: len(w) - k] = np.where(wd[: len(w) - k] == wd[k:], w[k:], U(0))
-        run = run * U(0x100000001B3) + nxt
-    whole = (pos == 0) | (pos + RUN <= n[wd])
-    return wd[whole], (mix(run)[whole] >> U(32)).astype(np.uint32)
-
-
-def counts(texts: list[str], into: np.ndarray) -> None:
-    """Add the texts' tokens to hashed document counts."""
+    A token is the hash of its number and JOINED minima of the shingle set, so two texts with Jaccard J have a given token in common with probability
+    J ** JOINED. At 0.7 they share fewer than SHARED of them with probability 0.0002, at 0.75 with 0.000004, wherever the edits lie."""
+    parts = []
     for a, b in groups(texts):
-        d, t = word_runs(texts[a:b])
-        u = np.sort((d.astype(np.uint64) << U(32)) | t)
-        u = u[np.concatenate(([True], u[1:] != u[:-1]))] if len(u) else u
-        np.add.at(into, (u & U(COUNTERS - 1)).astype(np.int64), 1)
-
+        m = minima(texts[a:b], (0x51ED270B, 0x2545F491, 0x1B873593))
+        v = np.concatenate((_filled(m[2]), _filled(m[0][:, :64])), axis=1)[:, : TOKENS * JOINED].reshape(b - a, TOKENS, JOINED)
+        h = np.broadcast_to(np.arange(1, TOKENS + 1, dtype=np.uint64) << U(40), v.shape[:2])
+        for k in range(JOINED):
+            h = mix(h ^ v[:, :, k], 0x7F4A7C15 + k)
+        parts.append(((h >> U(32)).astype(np.uint32), bits64(m[0][:, 64:]), bits64(m[1][:, :64]), bits64(m[1][:, 64:])))
+    if not parts:
+        return np.zeros((0, TOKENS), np.uint32), *(np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-def prefixes(texts: list[str], df: np.ndarray, share: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, tokens): of every text the rarest tokens, so many that two texts with at least ``share`` of the larger one's tokens in common
-    have ``least`` of them in common: n - ceil(share n) + least of n. The order is the counters', then the token's, the same for all texts.
 
-    A text with so few tokens that ``share`` of them may be fewer than ``least`` also posts each of its tokens under ``least`` other numbers, so that
-    two such texts have ``least`` in common as soon as they have one token in common."""
-    lens, toks = [], []
-    few = int(np.ceil(least / share))
-    for a, b in groups(texts):
-        d, t = word_runs(texts[a:b])
-        n_docs = b - a
-        rank = np.minimum(df[(t & np.uint32(COUNTERS - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
-        order = np.lexsort((t, rank, d))
-        d, t = d[order], t[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
-        d, t = d[new], t[new]
-        n = np.bincount(d, minlength=n_docs)
-        p = np.where(n > 0, n - np.ceil(share * n - 1e-9).astype(np.int64) + least, 0)
-        pos = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-        keep = pos < p[d]
-        kd, kt = d[keep], t[keep]
-        short = n[d] < few
-        if least > 1 and short.any():
-            sd, st = np.tile(d[short], least), np.concatenate([(mix(t[short].astype(np.uint64), 0x5EED + i) >> U(32)).astype(np.uint32) for i in range(least)])
-            kd, kt = np.concatenate((kd, sd)), np.concatenate((kt, st))
-            by = np.argsort(kd, kind="stable")
-            kd, kt = kd[by], kt[by]
-        lens.append(np.bincount(kd, minlength=n_docs))
-        toks.append(kt)
-    return (np.concatenate(lens) if lens else np.zeros(0, np.int64)), (np.concatenate(toks) if toks else np.zeros(0, np.uint32))
+def prefixes(tokens: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Of each text's tokens the PREFIX rarest by the counters, ties by token: two texts that share SHARED tokens or more have one of them in both prefixes."""
+    rank = (df[(tokens & np.uint32(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << U(32)) | tokens
+    return np.take_along_axis(tokens, np.argsort(rank, axis=1)[:, :PREFIX], axis=1)

@@ -1,33 +1,42 @@
 """Batches of texts against all history: an incremental inverted index of rare-token prefixes.
 
-Tokens are runs of five words (32-bit hashes). The order of rarity is frozen from the first batch: hashed counters of a fixed size, so an order
-that never moves an old posting. Of every text the prefix is indexed that two texts with SHARE of the larger one's tokens in common can't
-both miss, lengthened so that they meet in LEAST tokens. Postings are bucketed by token; a batch's prefixes probe them, sketches and the lengths'
-ratio sort out chance meetings, the texts decide, and the batch's own postings are appended.
-
-Word runs say nothing certain about the character measure (small edits spread over a text leave no run whole), and sketches may be off, so
-what is not found that way is compared with every text through parity maps, whose distance bounds the measure: no similar pair is left out.
-That second way grows with batch times history; it reads maps only, and texts of the pairs that pass.
+Tokens are hashes of joint minima of a text's substrings of five characters (``fingerprint.tokens``), so what two texts share of them follows the
+measure itself, wherever the edits lie: similar texts share SHARED tokens of TOKENS at least, but for a probability of 0.0002 at the threshold.
+The order of rarity is frozen from the first batch (hashed counters of a fixed size, so an order that never moves an old posting), and of every
+text the prefix is indexed in which two texts that share SHARED tokens can't both miss each other.
+
+A batch's texts that history holds already are repeats. The others' prefixes probe the postings, sketches and set sizes sort out chance
+meetings, the texts decide, and postings of the new texts are appended. Postings are kept in segments, bucketed and sorted by token, and
+merged in levels. A batch reads the postings, the texts' keys and sizes and, where candidates name them, the texts; a batch whose prefixes are few
+is sent to the postings, and a larger one meets them bucket by bucket, so history is never shuffled.
+
+A manifest, renamed into place last, names all tables of the index: after a crash the batch counts as not taken in and can come again.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import cut, list_names, new_path, remove, settings, table, tidy
+from jobforge.functions.session import cut, keep, list_names, new_path, read_text, remove, scratch, settings, table, tidy, write_text
 from jobforge.llm import fingerprint as fp
 from jobforge.llm.near_dup import FIRST_BITS, OTHER_BITS, verified
 
-SHARE, LEAST = 0.35, 4
 CHUNK = 1 << 12
-#: Texts a block of parity maps has at most, and texts a partition of them has.
-BLOCK, BLOCKED = 1 << 12, 1 << 13
-SCHEMA = "id string, created_at timestamp, date date, tid binary, n int, s0 long, s1 long, s2 long, packed binary, parity binary"
+#: Postings a bucket is meant to hold, the most buckets of a segment, texts of a file, segments of a level that are merged into one.
+BUCKET, MOST_BUCKETS, FILE, FAN = 1 << 19, 1 << 13, 1 << 17, 6
+#: A batch of up to so many rows is sent to the history's tables (about 40 MB of prefixes); a larger one is joined bucket by bucket.
+SMALL = 20_000
+#: A token in more new texts than this is first held against its earliest text alone; only what that doesn't decide meets all the others.
+HOT = 64
+EARLIER = {"tid": "b", "s0": "t0", "s1": "t1", "s2": "t2", "n": "m", "first": "earlier"}
+MADE = "id string, own struct<created_at:timestamp,date:date,id:string>, tid binary, n int, s0 long, s1 long, s2 long, packed binary, tokens binary"
 
 
 def token_counts(texts: DataFrame) -> np.ndarray:
@@ -36,7 +45,8 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     def of_partition(batches):
         total = np.zeros(fp.COUNTERS, np.int64)
         for b in batches:
-            fp.counts([t for t in fp.normalised(b.column("text").to_pylist()) if len(t) >= fp.SHINGLE], total)
+            for t in b.column("tokens").to_pylist():
+                np.add.at(total, (np.frombuffer(t, np.uint32) & np.uint32(fp.COUNTERS - 1)).astype(np.int64), 1)
         if total.any():
             for k in range(0, fp.COUNTERS, CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([total[k : k + CHUNK].astype("<i4").tobytes()], pa.binary())], ["k", "part"])
@@ -47,216 +57,230 @@ def token_counts(texts: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in pdf["part"])
         return pd.DataFrame({"k": [key[0]], "part": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
-    rows = texts.select("text").mapInArrow(of_partition, "k int, part binary").groupBy("k").applyInPandas(add, "k int, part binary").collect()
+    rows = texts.select("tokens").mapInArrow(of_partition, "k int, part binary").groupBy("k").applyInPandas(add, "k int, part binary").collect()
     out = np.zeros(fp.COUNTERS, np.int32)
     for r in rows:
         out[r.k * CHUNK : (r.k + 1) * CHUNK] = np.frombuffer(r.part, "<i4")
     return out
 
 
-class HistoryIndex:
-    """The index under ``path``: ``postings/b=N`` (bucketed and sorted by token) and ``texts/b=N`` of each batch, and the frozen counters.
+def _close() -> Column:
+    """Different sketches x.s0 and y.s0 that may belong to similar texts."""
+    return (F.col("x.s0") != F.col("y.s0")) & (F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) <= FIRST_BITS)
 
-    ``buckets`` is fixed when the index is begun."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
-        self.spark, self.path, self.buckets, self._df = spark, path, buckets, None
+def _possible() -> Column:
+    """An earlier text that a new one's other sketches and set size don't hold apart; sets whose sizes differ by more can't reach the threshold."""
+    bits = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    return (F.col("earlier") < F.col("first")) & (F.least("n", "m") >= fp.THRESHOLD * F.greatest("n", "m") - 0.5) & (bits <= OTHER_BITS)
 
-    def _batches(self, what: str) -> list[str]:
-        names = [n for n in list_names(self.spark, f"{self.path}/{what}") if n.startswith("b=")]
-        return sorted((n for n in names if "_SUCCESS" in list_names(self.spark, f"{self.path}/{what}/{n}")), key=lambda n: int(n[2:]))
 
-    def _texts(self, batches: list[str]) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/texts/{b}/kind=0" for b in batches))
+def _fingerprints(batches):
+    seen = set()  # texts of this partition: copies carry neither text nor tokens
+    for b in batches:
+        (ids, own), texts = fp.usable([b.column("id"), b.column("own")], fp.normalised(b.column("text").to_pylist()))
+        tids = [fp.tid(t) for t in texts]
+        fresh = np.array([not (t in seen or seen.add(t)) for t in tids], bool)
+        new = [t for t, f in zip(texts, fresh, strict=True) if f]
+        toks, *sketches = fp.tokens(new)
+        at = np.flatnonzero(fresh)
+
+        def spread(values, kind):
+            full = [None] * len(texts)
+            for i, v in zip(at, values, strict=True):
+                full[i] = v
+            return pa.array(full, kind)
 
-    def _postings(self, batch: str) -> DataFrame:
-        """A batch's postings as a bucketed table, so that joins on the token need no shuffle."""
-        at = f"{self.path}/postings/{batch}"
-        name = "postings_" + hashlib.md5(at.encode()).hexdigest()[:16]
+        cols = {"id": ids, "own": own, "tid": pa.array(tids, pa.binary()), "n": spread(fp.sizes(new).tolist(), pa.int32())}
+        cols |= {f"s{k}": spread(s.tolist(), pa.int64()) for k, s in enumerate(sketches)}
+        cols |= {"packed": spread([fp.pack(t) for t in new], pa.binary()), "tokens": spread([t.tobytes() for t in toks], pa.binary())}
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+class HistoryIndex:
+    """The index under ``path``: tables of texts (one row for each different text, with its first bearer) and of postings, the frozen counters and
+    the manifests, of which the highest counts."""
+
+    def __init__(self, spark: SparkSession, path: str, small: int = SMALL, hot: int = HOT):
+        self.spark, self.path, self.small, self.hot, self._df = spark, path, small, hot, None
+
+    def manifest(self) -> dict:
+        """version, texts: [folder, rows], postings: [folder, buckets, rows, level]."""
+        names = [n for n in list_names(self.spark, self.path) if n.startswith("manifest-") and n.endswith(".json")]
+        if not names:
+            return {"version": 0, "texts": [], "postings": [], "counters": None}
+        return json.loads(read_text(self.spark, f"{self.path}/{max(names, key=lambda n: int(n[9:-5]))}"))
+
+    def _texts(self, m: dict) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{t}" for t, _ in m["texts"]))
+
+    def _write_postings(self, rows: DataFrame, n: int, level: int) -> list:
+        """A segment of postings: [folder, buckets, rows, level]. Sorted tokens are kept as differences."""
+        buckets = 4
+        while buckets * BUCKET < n and buckets < MOST_BUCKETS:
+            buckets *= 2
+        at, name = f"postings-{uuid.uuid4().hex[:12]}", f"written_{uuid.uuid4().hex[:12]}"
+        with tidy(self.spark):
+            out = rows.repartition(buckets, "token").write.bucketBy(buckets, "token").sortBy("token").option("path", f"{self.path}/{at}")
+            out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2").format("parquet").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+        return [at, buckets, n, level]
+
+    def _postings(self, segment: list) -> DataFrame:
+        """A segment as a bucketed table, so that a join on the token moves the other side alone."""
+        at, buckets, *_ = segment
+        name = "held_" + at.split("-")[1]
         if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"CREATE TABLE {name} (token INT, s0 BIGINT) USING parquet CLUSTERED BY (token) SORTED BY (token) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+            self.spark.sql(f"CREATE TABLE {name} (token INT, s0 BIGINT) USING parquet CLUSTERED BY (token) SORTED BY (token) INTO {buckets} BUCKETS LOCATION '{self.path}/{at}'")
         return self.spark.table(name)
 
-    def _write_postings(self, made: DataFrame, batch: str) -> None:
-        at = f"{self.path}/postings/{batch}"
-        name = "postings_" + hashlib.md5(at.encode()).hexdigest()[:16]
-        rows = made.select(F.explode("tokens").alias("token"), "s0").repartition(self.buckets, "token")
-        with tidy(self.spark):  # sorted tokens are kept as differences
-            rows.write.bucketBy(self.buckets, "token").sortBy("token").option("path", at).option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2").format("parquet").saveAsTable(name)
+    def _forget(self, segment: list) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS held_{segment[0].split('-')[1]}")
 
-    def _counters(self, texts: DataFrame) -> np.ndarray:
+    def _counters(self, m: dict, new: DataFrame):
         if self._df is None:
-            at = f"{self.path}/counters"
-            if "_SUCCESS" not in list_names(self.spark, at):
-                counts = token_counts(texts)
-                self.spark.createDataFrame([(counts.tobytes(),)], "counts binary").coalesce(1).write.mode("overwrite").parquet(at)
-            self._df = np.frombuffer(self.spark.read.parquet(at).first().counts, np.int32)
+            if m["counters"] is None:
+                at = f"counters-{uuid.uuid4().hex[:12]}"
+                counts = token_counts(new)
+                self.spark.createDataFrame([(counts.tobytes(),)], "counts binary").coalesce(1).write.parquet(f"{self.path}/{at}")
+                m["counters"] = at
+            counts = np.frombuffer(self.spark.read.parquet(f"{self.path}/{m['counters']}").first().counts, np.int32)
+            self._df = self.spark.sparkContext.broadcast(counts)  # 4 MB, always
         return self._df
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Take in a batch (id, created_at, date, text) and give the ids in it that repeat an earlier row, of history or of the batch.
 
         Earlier is by created_at, date, id, nulls first. Null and empty texts and texts under five characters repeat nothing and aren't kept. Rows
-        doubled in full count once. Batches must come in order of created_at. An empty batch gives no rows."""
-        spark = self.spark
-        old = self._batches("texts")
-        this = f"b={int(old[-1][2:]) + 1 if old else 0}"
-        slim = batch.select(F.col("id").cast("string").alias("id"), "created_at", "date", "text")
-        counters = spark.sparkContext.broadcast(self._counters(slim))  # 4 MB, always
+        doubled in full count once. Batches must come in order of created_at. An empty batch gives no rows; one that is taken in twice repeats itself."""
+        m = self.manifest()
+        with scratch(self.spark):
+            out = self._ingest(m, batch)
+            return self.spark.createDataFrame([], "id string") if out is None else keep(out)
 
-        def fingerprints(batches):
-            seen = set()  # texts of this partition; copies post their tokens once
+    def _ingest(self, m: dict, batch: DataFrame) -> DataFrame | None:
+        spark = self.spark
+        key = F.col("id").cast("string")
+        slim = batch.select(key.alias("id"), F.struct("created_at", "date", key.alias("id")).alias("own"), "text")
+        made = cut(slim.mapInArrow(_fingerprints, MADE), "made")
+        size = made.count()  # from the files' footers
+        if not size:
+            return None
+        few = size <= self.small
+        near = F.broadcast if few else (lambda df: df)  # what follows from few rows is short as well
+
+        # one row a text, with its first bearer; texts that history holds are left out
+        whole = [F.first(c, True).alias(c) for c in ("n", "s0", "s1", "s2", "packed", "tokens")]
+        texts = made.groupBy("tid").agg(F.min("own").alias("first"), *whole)
+        if m["texts"]:
+            known = self._texts(m).select("tid").join(near(made.select("tid").distinct()), "tid", "left_semi")
+            texts = texts.join(near(known), "tid", "left_anti")
+        at = f"texts-{uuid.uuid4().hex[:12]}"
+        with tidy(spark):
+            texts.coalesce(max(1, -(-size // FILE))).write.parquet(f"{self.path}/{at}")
+        new = spark.read.schema(texts.schema).parquet(f"{self.path}/{at}")
+        count = new.count()
+        if not count:
+            remove(spark, f"{self.path}/{at}")
+            return cut(made.select("id").distinct(), "repeats")
+        counters = self._counters(m, new)
+
+        def postings(batches):
             for b in batches:
-                (ids, stamps, days), texts = fp.usable([b.column(c) for c in ("id", "created_at", "date")], fp.normalised(b.column("text").to_pylist()))
-                tids = [fp.tid(t) for t in texts]
-                _, s0, s1, s2 = fp.sketches(texts)
-                fresh = [not (t in seen or seen.add(t)) for t in tids]
-                lens = np.zeros(len(texts), np.int64)
-                lens[fresh], toks = fp.prefixes([t for t, f in zip(texts, fresh, strict=True) if f], counters.value, SHARE, LEAST)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(toks.view(np.int32)))
-                n, maps = fp.parities(texts)
-                cols = {"id": ids, "created_at": stamps, "date": days, "tid": pa.array(tids, pa.binary()), "n": pa.array(n.astype(np.int32))}
-                cols |= {"s0": pa.array(s0), "s1": pa.array(s1), "s2": pa.array(s2), "packed": pa.array([fp.pack(t) for t in texts], pa.binary()), "parity": pa.array(maps, pa.binary())}
-                none, kind = (lambda a: pa.nulls(len(a), a.type)), (lambda k: pa.array([k] * len(texts), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*cols.values(), none(lists), kind(0)], [*cols, "tokens", "kind"])
-                yield pa.RecordBatch.from_arrays([a if c == "s0" else none(a) for c, a in cols.items()] + [lists, kind(1)], [*cols, "tokens", "kind"])
-
-        # one pass writes both: the texts, which stay, and the tokens, which go once they are postings
-        at = f"{self.path}/texts/{this}"
-        slim.mapInArrow(fingerprints, SCHEMA + ", tokens array<int>, kind int").write.partitionBy("kind").parquet(at)
-        if "kind=1" not in list_names(spark, at):  # no usable text
-            remove(spark, at)
-            return spark.createDataFrame([], "id string")
-        self._write_postings(spark.read.schema("s0 long, tokens array<int>").parquet(f"{at}/kind=1"), this)
-        remove(spark, f"{at}/kind=1")
-        mine = self._texts([this])
-        own = self._postings(this)
-        x = own.alias("x")
-
-        def meetings(y: DataFrame, different) -> DataFrame:
-            """(s0, t0): sketches of the batch and of ``y`` that share enough tokens and bits. Buckets are joined as they lie."""
-            y = y.alias("y")
-            close = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) <= FIRST_BITS
-            j = x.join(y, F.col("x.token") == F.col("y.token")).filter(different & close)
-            return j.groupBy(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).select("s0", "t0")
-
-        within = meetings(own, F.col("x.s0") < F.col("y.s0"))
-        met = within.select(F.inline(F.array(F.struct("s0", "t0"), F.struct(F.col("t0").alias("s0"), F.col("s0").alias("t0")))))
-        for o in old:
-            met = met.unionByName(meetings(self._postings(o), F.col("x.s0") != F.col("y.s0")))
-        history = self._texts(old) if old else None
-        return self._repeats(met.distinct(), mine, history)
-
-    def _repeats(self, met: DataFrame, mine: DataFrame, history: DataFrame | None) -> DataFrame:
-        order = F.struct("created_at", "date", "id")
-        cols = ("tid", "s0", "s1", "s2", "n")
-        rows = mine.select(*cols, order.alias("own"), F.lit(True).alias("fresh"))
-        if history is not None:
-            rows = rows.unionByName(history.select(*cols, order.alias("own"), F.lit(False).alias("fresh")))
-        # one row a text, with its first bearer
-        slim = cut(rows.groupBy("tid").agg(*(F.first(c).alias(c) for c in cols[1:]), F.min("own").alias("first"), F.max("fresh").alias("fresh")), "texts")
-        new = slim.filter("fresh").drop("fresh")
-        old = slim.select(*(F.col(c).alias(x) for c, x in (("tid", "b"), ("s0", "t0"), ("s1", "t1"), ("s2", "t2"), ("n", "m"), ("first", "earlier"))))
-        same = slim.groupBy("s0").count().filter("count > 1").select("s0", F.col("s0").alias("t0"))
-        pairs = met.unionByName(same).join(new, "s0").join(old, "t0").filter((F.col("tid") != F.col("b")) & (F.col("earlier") < F.col("first")))
-        near = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        # sets whose sizes differ by more than the threshold can't reach it
-        lengths = F.least("n", "m") >= fp.THRESHOLD * F.greatest("n", "m") - 0.5
-        # each bucket of postings is one file and sorted as written, so the joins on tokens need neither shuffle nor sort
+                t = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint32).reshape(-1, fp.TOKENS)
+                kept = fp.prefixes(t, counters.value)
+                yield pa.RecordBatch.from_arrays([pa.array(kept.ravel().view(np.int32)), pa.array(np.repeat(b.column("s0").to_numpy(zero_copy_only=False), fp.PREFIX))], ["token", "s0"])
+
+        segment = self._write_postings(new.select("tokens", "s0").mapInArrow(postings, "token int, s0 long"), count * fp.PREFIX, 0)
+        after = {"version": m["version"] + 1, "texts": [*m["texts"], [at, count]], "postings": [*m["postings"], segment], "counters": m["counters"]}
+        hits = self._hits_of_few(after, new) if few else self._hits(m, after, new, segment)
+        marked = new.select("tid", "first").join(near(hits.withColumn("near_dup", F.lit(True))), "tid", "left")
+        mine = made.select("id", "tid", "own").join(near(marked), "tid", "left")
+        out = cut(mine.filter(F.col("first").isNull() | (F.col("own") > F.col("first")) | F.col("near_dup")).select("id").distinct(), "repeats")
+        gone = self._merge(after)
+        write_text(spark, f"{self.path}/manifest-{after['version']}.json", json.dumps(after))
+        for s in gone:  # named by no manifest that counts
+            self._forget(s)
+            remove(spark, f"{self.path}/{s[0]}")
+        return out
+
+    def _hits_of_few(self, after: dict, new: DataFrame) -> DataFrame:
+        """(tid): the texts of a small batch that are similar to an earlier one. What the batch has is sent to the index's tables, each of which is read
+        once; no more than the meetings, without repetition, is shuffled."""
+        read = self.spark.read
+        x = F.broadcast(read.parquet(f"{self.path}/{after['postings'][-1][0]}")).alias("x")
+        y = read.schema("token int, s0 long").parquet(*(f"{self.path}/{s[0]}" for s in after["postings"])).alias("y")
+        met = y.join(x, F.col("x.token") == F.col("y.token")).filter(_close()).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")).distinct()
+        met = met.unionByName(new.select("s0", F.col("s0").alias("t0")).distinct())
+        left = met.join(F.broadcast(new.drop("tokens")), "s0")
+        right = self._texts(after).select(*(F.col(c).alias(o) for c, o in EARLIER.items()), F.col("packed").alias("theirs"))
+        return right.join(F.broadcast(left), "t0").filter(_possible()).filter(fp.similar("packed", "theirs")).select("tid").distinct()
+
+    def _hits(self, m: dict, after: dict, new: DataFrame, segment: list) -> DataFrame:
+        """(tid): the new texts that are similar to an earlier one. Buckets meet buckets; of history only what candidates name is moved."""
+        held = self._texts(after)
+        own = self._postings(segment)
+        parts, x = [], own
+        hot = own.groupBy("token").count().filter(F.col("count") > self.hot).select("token")
+        if hot.limit(1).count():
+            hot = cut(hot, "hot")
+            posted = own.join(hot, "token").join(new.select("s0", "first"), "s0")
+            earliest = posted.groupBy("token").agg(F.min(F.struct("first", "s0")).alias("e")).select("token", F.col("e.s0").alias("t0"))
+            star = posted.join(earliest, "token").select("s0", "t0").distinct()
+            parts.append(cut(self._decided(star, new, held), "hits"))
+            x = own.join(cut(new.select("tid", "s0").join(parts[0], "tid", "left_anti").select("s0").distinct(), "undecided"), "s0", "left_semi")
+
+        def meetings(y: DataFrame) -> DataFrame:
+            """(s0, t0): sketches of undecided new texts and of ``y`` that share a token of their prefixes, close enough to each other."""
+            return x.alias("x").join(y.alias("y"), F.col("x.token") == F.col("y.token")).filter(_close()).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0"))
+
+        # each bucket is one file and sorted as written, so joins of buckets need no sort
         with settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
-            pairs = cut(pairs.filter(lengths).filter(near <= OTHER_BITS).select("tid", F.col("b"), near.alias("near")), "candidates")
-        # the nearest earlier text first; whoever isn't decided by it is held against all the others
-        best = cut(pairs.groupBy("tid").agg(F.min(F.struct("near", "b")).alias("n")).select("tid", "n.b"), "best")
-        every = mine if history is None else history.unionByName(mine)
-        hit = cut(verified(best.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid")), "hits")
-        rest = pairs.join(hit, "tid", "left_anti").join(best, ["tid", "b"], "left_anti")
-        more = verified(rest.select(F.col("tid").alias("a"), "b"), every).select(F.col("a").alias("tid"))
-        hit = cut(hit.unionByName(more).distinct(), "repeated")
-        far = self._unmet(slim, hit, every)
-        repeated = hit.unionByName(far).distinct().withColumn("near_dup", F.lit(True))
-        marked = slim.filter("fresh").select("tid", "first").join(repeated, "tid", "left")
-        return mine.select("id", "tid", order.alias("own")).join(marked, "tid").filter((F.col("own") > F.col("first")) | F.col("near_dup")).select("id").distinct()
-
-    def _unmet(self, slim: DataFrame, hit: DataFrame, every: DataFrame) -> DataFrame:
-        """(tid): the batch's texts not in ``hit`` that are similar to an earlier one, by comparison with all texts."""
-        spark = self.spark
-        maps = every.groupBy("tid").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
-        open_ = slim.filter("fresh").select("tid").join(hit, "tid", "left_anti").withColumn("probe", F.lit(True))
-        marked = cut(maps.join(open_, "tid", "left").select("tid", "n", "parity", F.coalesce("probe", F.lit(False)).alias("probe")), "maps")
-        sizes = {r.probe: r.c for r in marked.groupBy("probe").agg(F.count(F.lit(1)).alias("c")).collect()}
-        if True not in sizes:
-            return hit.limit(0)
-        parts = [marked.filter(F.col("probe") == p).repartitionByRange(-(-c // BLOCKED), "n").sortWithinPartitions("n").mapInArrow(_blocks, BLOCKS) for p, c in sizes.items()]
-        blocks = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        # a partition a file, and few blocks a batch: they are up to a megabyte and more
-        with settings(spark, spark__sql__files__openCostInBytes="1g", spark__sql__execution__arrow__maxRecordsPerBatch="8"):
-            blocks = cut(blocks, "blocks")
-            x, y = blocks.alias("x"), blocks.hint("shuffle_replicate_nl").alias("y")
-            reach = (F.col("y.high") >= fp.THRESHOLD * F.col("x.low") - 1) & (F.col("x.high") >= fp.THRESHOLD * F.col("y.low") - 1)
-            once = F.col("x.probe") & (~F.col("y.probe") | (F.col("x.name") <= F.col("y.name")))
-            both = x.join(y, reach & once).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("tids", "sizes", "maps")))
-            pairs = cut(both.mapInArrow(_reachable, "a binary, b binary"), "reachable")
-        first = slim.select("tid", "first")
-        ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        later = ways.join(open_.select(F.col("tid").alias("a")), "a", "left_semi")
-        later = later.join(first.select(F.col("tid").alias("a"), "first"), "a").join(first.select(F.col("tid").alias("b"), F.col("first").alias("earlier")), "b")
-        return verified(cut(later.filter("earlier < first").select("a", "b").distinct(), "unmet"), every).select(F.col("a").alias("tid"))
-
-
-BLOCKS = "name binary, probe boolean, low int, high int, tids binary, sizes binary, maps binary"
-
-
-def _blocks(batches):
-    """Consecutive texts with maps of one width as one row, named by its first text."""
-
-    def row(own):
-        return dict(zip(("name", "probe", "low", "high", "tids", "sizes", "maps"), (own[0][0], own[0][3], min(r[1] for r in own), max(r[1] for r in own), b"".join(r[0] for r in own), np.array([r[1] for r in own], "<i4").tobytes(), b"".join(r[2] for r in own)), strict=True))
-
-    kinds = [("name", pa.binary()), ("probe", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("tids", pa.binary()), ("sizes", pa.binary()), ("maps", pa.binary())]
-    held: list[tuple] = []
-    for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("tid", "n", "parity", "probe")), strict=True):
-            if held and (len(held) == BLOCK or len(held[0][2]) != len(r[2])):
-                yield pa.RecordBatch.from_pylist([row(held)], pa.schema(kinds))
-                held = []
-            held.append(r)
-    if held:
-        yield pa.RecordBatch.from_pylist([row(held)], pa.schema(kinds))
-
-
-def _reachable(batches):
-    """Pairs of texts of two blocks that may be similar."""
-
-    def block(r: dict, s: str):
-        n = np.frombuffer(r[f"{s}_sizes"], "<i4")
-        return np.frombuffer(r[f"{s}_tids"], "V16"), n, np.frombuffer(r[f"{s}_maps"], np.uint64).reshape(len(n), -1)
-
-    for b in batches:
-        for k in range(b.num_rows):
-            r = b.slice(k, 1).to_pylist()[0]
-            (t, n, x), (u, m, y) = block(r, "x"), block(r, "y")
-            i, j = fp.reachable(x, n, y, m)
-            keep = (np.minimum(n[i], m[j]) >= fp.THRESHOLD * np.maximum(n[i], m[j]) - 1) & (t[i] != u[j])
-            yield pa.RecordBatch.from_arrays([pa.array([z.tobytes() for z in v[keep]], pa.binary()) for v in (t[i], u[j])], ["a", "b"])
+            met = cut(reduce(DataFrame.unionByName, [meetings(own), *(meetings(self._postings(s)) for s in m["postings"])]).distinct(), "met")
+        parts.append(self._decided(met.unionByName(new.select("s0", F.col("s0").alias("t0")).distinct()), new, held))
+        return reduce(DataFrame.unionByName, parts).distinct()
+
+    def _decided(self, met: DataFrame, new: DataFrame, held: DataFrame) -> DataFrame:
+        """(tid): the new texts that are similar to an earlier one they met."""
+        left = met.join(new.select("tid", "s0", "s1", "s2", "n", "first"), "s0")
+        right = held.select(*(F.col(c).alias(o) for c, o in EARLIER.items()))
+        pairs = right.join(left, "t0").filter(_possible()).select(F.col("tid").alias("a"), "b").distinct()
+        return verified(cut(pairs, "candidates"), held).select(F.col("a").alias("tid")).distinct()
+
+    def _merge(self, after: dict) -> list:
+        """Merge the segments of each level that has FAN of them into one of the next; gives those that are no longer named."""
+        gone, level = [], 0
+        while len(own := [s for s in after["postings"] if s[3] == level]) >= FAN:
+            rows = reduce(DataFrame.unionByName, [self._postings(s) for s in own])
+            merged = self._write_postings(rows, sum(s[2] for s in own), level + 1)
+            after["postings"] = [s for s in after["postings"] if s not in own] + [merged]
+            gone += own
+            level += 1
+        return gone
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p1_found: ads whose text is similar to an earlier ad's. The history and the later runs come as two batches; within a batch the order decides,
-    so the result is the one that a batch a run gives."""
+    """p1_found: ads whose text is similar to an earlier ad's, taken in run by run."""
     ads = table(spark, sf_dir, "ads").select("id", "created_at", "date", "text")
-    return repeats(spark, [ads], split=True).select(F.col("id").alias("ad_id"))
-
-
-def repeats(spark: SparkSession, batches: list[DataFrame], split: bool = False, path: str | None = None) -> DataFrame:
-    """All repeats in consecutive batches; ``split`` parts one table into its first import run and the rest."""
-    index = HistoryIndex(spark, path or new_path(spark, "history"))
-    if split:
-        df = batches[0]
-        first = df.agg(F.min("created_at")).collect()[0][0]
-        own = F.col("created_at").isNull() | (F.col("created_at") == F.lit(first))
-        batches = [df] if first is None else [df.filter(own), df.filter(F.col("created_at") > F.lit(first))]
-    out = None
-    for b in batches:
-        got = cut(index.ingest(b), "repeats")
-        out = got if out is None else out.unionByName(got)
+    return repeats(spark, by_run(ads)).select(F.col("id").alias("ad_id"))
+
+
+def by_run(df: DataFrame) -> list[DataFrame]:
+    """A table parted by created_at, in order; rows without a stamp belong to the first part."""
+    stamp = F.col("created_at")
+    stamps = sorted(r[0] for r in df.filter(stamp.isNotNull()).select("created_at").distinct().collect())  # stamps of import runs, not of rows
+    if len(stamps) < 2:
+        return [df]
+    return [df.filter(stamp.isNull() | (stamp == F.lit(stamps[0])))] + [df.filter(stamp == F.lit(s)) for s in stamps[1:]]
+
+
+def repeats(spark: SparkSession, batches: list[DataFrame], path: str | None = None, **options) -> DataFrame:
+    """(id): all repeats in consecutive batches. An index that isn't given a ``path`` is removed at the end."""
+    at = path or new_path(spark, "history")
+    index = HistoryIndex(spark, at, **options)
+    out = reduce(DataFrame.unionByName, [index.ingest(b) for b in batches])
+    if path is None:
+        for s in index.manifest()["postings"]:
+            index._forget(s)
+        remove(spark, at)
     return out

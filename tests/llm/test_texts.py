@@ -82,7 +82,7 @@ def test_batches_equal_one_pass(spark, rows, pairs, tmp_path):
     by_run = [df.filter(f"month(created_at) = {m}") for m in (1, 2, 3)]
     got = [r.id for r in history.repeats(spark, by_run, path=f"file://{tmp_path}/h").collect()]
     assert sorted(got) == sorted(want)
-    assert sorted(r.id for r in history.repeats(spark, [df], split=True).collect()) == sorted(want)
+    assert sorted(r.id for r in history.repeats(spark, history.by_run(df)).collect()) == sorted(want)
     later = spark.createDataFrame([("zz", dt.datetime(2025, 1, 1), None, rows[3][3], "", ""), ("zy", dt.datetime(2025, 1, 1), None, "совсем другой текст, которого не было", "", "")], A)
     again = history.HistoryIndex(spark, f"file://{tmp_path}/h")
     assert [r.id for r in again.ingest(later).collect()] == ["zz"]
@@ -118,27 +118,68 @@ def test_a_long_chain_is_one_class(spark):
     assert {r.label for r in near_dup.connected(both).collect()} == {"n000"}
 
 
-def test_scattered_edits_leave_no_run_but_are_found(spark):
+def spread_edits(every, n=40):
+    """Texts and copies of them with a letter changed in every so many words."""
     rnd = random.Random(7)
     letters = "абвгдежзиклмнопрст"
     rows = []
-    for i in range(30):
+    for i in range(n):
         words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(7, 10))) for _ in range(2000 if i == 0 else 80)]
-        edited = [w[:-1] + "ю" if k % 5 == 0 else w for k, w in enumerate(words)]
+        edited = [w[:-1] + "ю" if k % every == 0 else w for k, w in enumerate(words)]
         for run, w in ((1, words), (1 + i % 2, edited)):
             rows.append((f"{i:02}{'ab'[w is edited]}", dt.datetime(2024, run, 1), dt.date(2024, 1, 1), " ".join(w), "", ""))
+    return rows
+
+
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_scattered_edits_are_found(spark, small):
+    rows = [(f"{k}-{r[0]}", *r[1:3], f"{k} " + r[3].replace("а", "абвгд"[k % 5]), *r[4:]) for k in (4, 5, 6, 8) for r in spread_edits(k, 24)]
     want = sorted({max(p) for p in truth(rows)})
-    assert len(want) > 25 and "00b" in want
-    assert sorted(r.id for r in history.repeats(spark, [spark.createDataFrame(rows, A)], split=True).collect()) == want
-
-
-def test_parity_maps_bound_the_measure(rows, pairs):
-    ids, texts = zip(*((i, t) for i, t in zip([r[0] for r in rows], fp.normalised([r[3] for r in rows]), strict=True) if len(t) >= 5), strict=True)
-    n, maps = fp.parities(list(texts))
-    assert n.tolist() == [len(sets(t)) for t in texts]
-    got = set()
-    for width in {len(m) for m in maps}:
-        at = [k for k, m in enumerate(maps) if len(m) == width]
-        z = fp.np.array([fp.np.frombuffer(maps[k], fp.np.uint64) for k in at])
-        got |= {tuple(sorted((ids[at[i]], ids[at[j]]))) for i, j in zip(*fp.reachable(z, n[at], z, n[at]), strict=True)}
-    assert pairs <= got
+    got = sorted(r.id for r in history.repeats(spark, history.by_run(spark.createDataFrame(rows, A)), small=small).collect())
+    assert len(want) > 60 and got == want
+
+
+def test_tokens_are_shared_as_often_as_stated():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("абвгдежзиклмн") for _ in range(rnd.randint(5, 9))) for _ in range(4000)]
+    texts, near = [], []
+    while len(texts) < 400:
+        w = [rnd.choice(words) for _ in range(90)]
+        v = [x[:-1] + "ю" if k % 4 == 0 else x for k, x in enumerate(w)]
+        if 0.69 <= fp.jaccard(" ".join(w), " ".join(v)) <= 0.76:
+            texts.append(" ".join(w))
+            near.append(" ".join(v))
+    x, y = fp.tokens(texts)[0], fp.tokens(near)[0]
+    shared = (x == y).sum(axis=1)
+    assert (shared < fp.SHARED).sum() <= 1 and 6 < shared.mean() < 14
+    df = fp.np.zeros(fp.COUNTERS, fp.np.int32)
+    fp.np.add.at(df, (x & fp.np.uint32(fp.COUNTERS - 1)).astype(int), 1)
+    for a, b, n in zip(fp.prefixes(x, df), fp.prefixes(y, df), shared, strict=True):
+        assert n < fp.SHARED or set(a) & set(b)
+
+
+def test_a_crash_before_the_manifest_loses_nothing(spark, tmp_path, monkeypatch):
+    rows = spread_edits(8, 8)
+    runs = history.by_run(spark.createDataFrame(rows, A))
+    index = history.HistoryIndex(spark, f"file://{tmp_path}/h")
+    got = [r.id for r in index.ingest(runs[0]).collect()]
+    with monkeypatch.context() as m:
+        m.setattr(history, "write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            index.ingest(runs[1])
+    again = history.HistoryIndex(spark, f"file://{tmp_path}/h")
+    assert again.manifest()["version"] == 1
+    got += [r.id for r in again.ingest(runs[1]).collect()]
+    assert sorted(got) == sorted({max(p) for p in truth(rows)})
+
+
+def test_hot_tokens_and_merged_segments(spark, rows, pairs, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "FAN", 2)
+    key = {r[0]: (r[1], r[2], r[0]) for r in rows}
+    want = {max(p, key=lambda i: key[i]) for p in pairs}
+    runs = history.by_run(spark.createDataFrame(rows, A))
+    for small, hot in ((0, 1), (20_000, 1)):
+        at = f"file://{tmp_path}/h{small}"
+        assert sorted(r.id for r in history.repeats(spark, runs, path=at, small=small, hot=hot).collect()) == sorted(want)
+        left = history.HistoryIndex(spark, at).manifest()
+        assert [s[3] for s in left["postings"]] == [1, 0] and len(left["texts"]) == 3
