@@ -1,4 +1,4 @@
-"""Incremental import as a stream: new chat exports are merged into the store of posts, each batch whole or not at all."""
+"""Incremental import as a stream: new chat exports are merged into the store of posts, each batch whole and once or not at all."""
 
 from __future__ import annotations
 
@@ -14,10 +14,10 @@ def import_stream(spark: SparkSession, folder: str, store_path: str, checkpoint:
     store = PostStore(spark, store_path)
     chats = spark.readStream.schema(CHAT).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
 
-    def merge(batch: DataFrame, _epoch: int) -> None:
+    def merge(batch: DataFrame, epoch: int) -> None:
         m = chat_messages(batch)
         now = F.current_timestamp()
-        store.upsert(m.withColumn("id", F.concat_ws("-", "telegram_chat_id", "telegram_message_id")).withColumn("created_at", now).withColumn("updated_at", now))
+        store.upsert(m.withColumn("id", F.concat_ws("-", "telegram_chat_id", "telegram_message_id")).withColumn("created_at", now).withColumn("updated_at", now), stream=checkpoint, epoch=epoch)
 
     return chats.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -20,6 +20,7 @@ def test_one_copy_across_batches_and_spellings(spark, tmp_path):
     assert posts == {(17, 1): ("d", 3), (18, 1): ("c", 1), (18, 2): ("e", 1)}
     after = store._manifest()["parts"]
     assert got["rewritten"] == 2 and sum(before[p] != after[p] for p in before) <= got["rewritten"]
+    assert all(n > 0 for _, n in after.values())
     assert store.upsert(spark.createDataFrame([], M)) == {"rewritten": 0, "kept": len(after)}
     assert store.index().count() == 3
 
@@ -52,3 +53,44 @@ def test_posts_without_a_run_count(spark, tmp_path):
         spark.createDataFrame(rows, M).write.parquet(f"file://{tmp_path}/{name}/messages.parquet")
         assert {tuple(r) for r in found(spark, f"file://{tmp_path}/{name}").collect()} == want
         assert {tuple(r) for r in per_chat(spark, f"file://{tmp_path}/{name}").collect()} == chats
+
+
+def months(n=24):
+    return [(f"{c}-{k}", c, k, dt.datetime(2022 + k // 12, k % 12 + 1, 5), dt.datetime(2024, 1, 1), None, 7, "x") for k in range(n) for c in range(5)]
+
+
+def test_a_late_batch_rewrites_a_small_share(spark, tmp_path):
+    store = PostStore(spark, f"file://{tmp_path}/s")
+    store.upsert(spark.createDataFrame(months(), M))
+    late = [("late", 3, 7, dt.datetime(2025, 1, 1), dt.datetime(2024, 2, 1), None, 7, "y"), ("new", 9, 99, dt.datetime(2024, 1, 9), dt.datetime(2024, 2, 1), None, 7, "y")]
+    assert store.upsert(spark.createDataFrame(late, M)) == {"rewritten": 2, "kept": 23}
+    assert store.posts().count() == 121 and store.posts(["202208-0"]).filter("id = 'late' AND deliveries = 2").count() == 1
+
+
+def test_a_crash_before_the_manifest_and_a_retry(spark, tmp_path, monkeypatch):
+    from jobforge.operators import delivery
+
+    store = PostStore(spark, f"file://{tmp_path}/s", small=0)
+    store.upsert(spark.createDataFrame(months(3), M))
+    again = [("z", 1, 1, dt.datetime(2022, 2, 5), dt.datetime(2024, 2, 1), None, 7, "y")]
+    with monkeypatch.context() as m:
+        m.setattr(delivery, "write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        try:
+            store.upsert(spark.createDataFrame(again, M))
+        except OSError:
+            pass
+    assert store.posts().filter("deliveries > 1").count() == 0
+    store.upsert(spark.createDataFrame(again, M), stream="s", epoch=4)
+    store.upsert(spark.createDataFrame(again, M), stream="s", epoch=4)  # a replayed batch
+    assert [tuple(r) for r in store.posts().filter("deliveries > 1").select("id", "deliveries").collect()] == [("z", 2)]
+
+
+def test_shares_of_a_month_merged_index_and_removed_versions(spark, tmp_path):
+    store = PostStore(spark, f"file://{tmp_path}/s", part=4)
+    for run in range(1, 9):
+        store.upsert(spark.createDataFrame([row(f"r{run}-{i}", 5, run * 100 + i, 1) for i in range(10)] + [row("same", 5, 1, run)], M))
+    m = store._manifest()
+    assert store.posts().count() == 81 and [s[3] for s in m["index"]] == [1, 0, 0] and store.index().count() == 81
+    assert store.posts().filter("id = 'same' AND deliveries = 8").count() == 1 and len(m["parts"]) >= 3
+    folders = [n for n in __import__("os").listdir(f"{tmp_path}/s") if n.startswith("posts-")]
+    assert len(folders) <= 4
