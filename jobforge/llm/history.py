@@ -27,20 +27,23 @@ from pyspark.sql import functions as F
 from jobforge.functions.session import cut, keep, list_names, new_path, read_text, remove, scratch, settings, table, tidy, write_text
 from jobforge.llm import fingerprint as fp
 from jobforge.llm.near_dup import FIRST_BITS, OTHER_BITS, verified
+from jobforge.operators.segments import FAN, Segments
 
 CHUNK = 1 << 12
-#: Postings a bucket is meant to hold, the most buckets of a segment, texts of a file, segments of a level that are merged into one.
-BUCKET, MOST_BUCKETS, FILE, FAN = 1 << 19, 1 << 13, 1 << 17, 6
-#: A batch of up to so many rows is sent to the history's tables (about 40 MB of prefixes); a larger one is joined bucket by bucket.
+#: Texts of a file.
+FILE = 1 << 17
+#: What is left of a batch of up to so many rows is sent to the history's texts (some 10 MB); of a larger one it is joined by a shuffle.
 SMALL = 20_000
+#: Runs that the registered query takes in at a time: a batch costs some ten jobs, however small it is.
+TOGETHER = 4
 #: A token in more new texts than this is first held against its earliest text alone; only what that doesn't decide meets all the others.
 HOT = 64
 EARLIER = {"tid": "b", "s0": "t0", "s1": "t1", "s2": "t2", "n": "m", "first": "earlier"}
 MADE = "id string, own struct<created_at:timestamp,date:date,id:string>, tid binary, n int, s0 long, s1 long, s2 long, packed binary, tokens binary"
 
 
-def token_counts(texts: DataFrame) -> np.ndarray:
-    """Document counts of hashed tokens over all rows: COUNTERS numbers (4 MB as int32), whatever the size of the data."""
+def token_counts(texts: DataFrame) -> DataFrame:
+    """(k, part): document counts of hashed tokens over all rows, CHUNK to a part; COUNTERS numbers (4 MB as int32), whatever the size of the data."""
 
     def of_partition(batches):
         total = np.zeros(fp.COUNTERS, np.int64)
@@ -57,11 +60,7 @@ def token_counts(texts: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in pdf["part"])
         return pd.DataFrame({"k": [key[0]], "part": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
-    rows = texts.select("tokens").mapInArrow(of_partition, "k int, part binary").groupBy("k").applyInPandas(add, "k int, part binary").collect()
-    out = np.zeros(fp.COUNTERS, np.int32)
-    for r in rows:
-        out[r.k * CHUNK : (r.k + 1) * CHUNK] = np.frombuffer(r.part, "<i4")
-    return out
+    return texts.select("tokens").mapInArrow(of_partition, "k int, part binary").groupBy("k").applyInPandas(add, "k int, part binary")
 
 
 def _close() -> Column:
@@ -101,8 +100,9 @@ class HistoryIndex:
     """The index under ``path``: tables of texts (one row for each different text, with its first bearer) and of postings, the frozen counters and
     the manifests, of which the highest counts."""
 
-    def __init__(self, spark: SparkSession, path: str, small: int = SMALL, hot: int = HOT):
+    def __init__(self, spark: SparkSession, path: str, small: int = SMALL, hot: int = HOT, fan: int = FAN):
         self.spark, self.path, self.small, self.hot, self._df = spark, path, small, hot, None
+        self.segments = Segments(spark, path, "postings", {"token": "int", "s0": "bigint"}, ("token",), fan)
 
     def manifest(self) -> dict:
         """version, texts: [folder, rows], postings: [folder, buckets, rows, level]."""
@@ -114,37 +114,15 @@ class HistoryIndex:
     def _texts(self, m: dict) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.path}/{t}" for t, _ in m["texts"]))
 
-    def _write_postings(self, rows: DataFrame, n: int, level: int) -> list:
-        """A segment of postings: [folder, buckets, rows, level]. Sorted tokens are kept as differences."""
-        buckets = 4
-        while buckets * BUCKET < n and buckets < MOST_BUCKETS:
-            buckets *= 2
-        at, name = f"postings-{uuid.uuid4().hex[:12]}", f"written_{uuid.uuid4().hex[:12]}"
-        with tidy(self.spark):
-            out = rows.repartition(buckets, "token").write.bucketBy(buckets, "token").sortBy("token").option("path", f"{self.path}/{at}")
-            out.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2").format("parquet").saveAsTable(name)
-        self.spark.sql(f"DROP TABLE {name}")  # the files stay
-        return [at, buckets, n, level]
-
-    def _postings(self, segment: list) -> DataFrame:
-        """A segment as a bucketed table, so that a join on the token moves the other side alone."""
-        at, buckets, *_ = segment
-        name = "held_" + at.split("-")[1]
-        if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"CREATE TABLE {name} (token INT, s0 BIGINT) USING parquet CLUSTERED BY (token) SORTED BY (token) INTO {buckets} BUCKETS LOCATION '{self.path}/{at}'")
-        return self.spark.table(name)
-
-    def _forget(self, segment: list) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS held_{segment[0].split('-')[1]}")
-
     def _counters(self, m: dict, new: DataFrame):
         if self._df is None:
             if m["counters"] is None:
                 at = f"counters-{uuid.uuid4().hex[:12]}"
-                counts = token_counts(new)
-                self.spark.createDataFrame([(counts.tobytes(),)], "counts binary").coalesce(1).write.parquet(f"{self.path}/{at}")
+                token_counts(new).coalesce(1).write.parquet(f"{self.path}/{at}")
                 m["counters"] = at
-            counts = np.frombuffer(self.spark.read.parquet(f"{self.path}/{m['counters']}").first().counts, np.int32)
+            counts = np.zeros(fp.COUNTERS, np.int32)
+            for r in self.spark.read.parquet(f"{self.path}/{m['counters']}").collect():  # 256 rows at most
+                counts[r.k * CHUNK : (r.k + 1) * CHUNK] = np.frombuffer(r.part, "<i4")
             self._df = self.spark.sparkContext.broadcast(counts)  # 4 MB, always
         return self._df
 
@@ -191,35 +169,38 @@ class HistoryIndex:
                 kept = fp.prefixes(t, counters.value)
                 yield pa.RecordBatch.from_arrays([pa.array(kept.ravel().view(np.int32)), pa.array(np.repeat(b.column("s0").to_numpy(zero_copy_only=False), fp.PREFIX))], ["token", "s0"])
 
-        segment = self._write_postings(new.select("tokens", "s0").mapInArrow(postings, "token int, s0 long"), count * fp.PREFIX, 0)
+        segment = self.segments.write(new.select("tokens", "s0").mapInArrow(postings, "token int, s0 long"), count * fp.PREFIX)
         after = {"version": m["version"] + 1, "texts": [*m["texts"], [at, count]], "postings": [*m["postings"], segment], "counters": m["counters"]}
-        hits = self._hits_of_few(after, new) if few else self._hits(m, after, new, segment)
-        marked = new.select("tid", "first").join(near(hits.withColumn("near_dup", F.lit(True))), "tid", "left")
-        mine = made.select("id", "tid", "own").join(near(marked), "tid", "left")
-        out = cut(mine.filter(F.col("first").isNull() | (F.col("own") > F.col("first")) | F.col("near_dup")).select("id").distinct(), "repeats")
-        gone = self._merge(after)
+        # each bucket is one file and sorted as written, so joins of buckets need no sort
+        with settings(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+            hits = self._hits_of_few(after, new, segment) if few else self._hits(after, new, segment)
+            marked = new.select("tid", "first").join(near(hits.withColumn("near_dup", F.lit(True))), "tid", "left")
+            mine = made.select("id", "tid", "own").join(near(marked), "tid", "left")
+            out = cut(mine.filter(F.col("first").isNull() | (F.col("own") > F.col("first")) | F.col("near_dup")).select("id").distinct(), "repeats")
+        after["postings"], gone = self.segments.merged(after["postings"])
         write_text(spark, f"{self.path}/manifest-{after['version']}.json", json.dumps(after))
         for s in gone:  # named by no manifest that counts
-            self._forget(s)
-            remove(spark, f"{self.path}/{s[0]}")
+            self.segments.forget(s)
         return out
 
-    def _hits_of_few(self, after: dict, new: DataFrame) -> DataFrame:
-        """(tid): the texts of a small batch that are similar to an earlier one. What the batch has is sent to the index's tables, each of which is read
-        once; no more than the meetings, without repetition, is shuffled."""
-        read = self.spark.read
-        x = F.broadcast(read.parquet(f"{self.path}/{after['postings'][-1][0]}")).alias("x")
-        y = read.schema("token int, s0 long").parquet(*(f"{self.path}/{s[0]}" for s in after["postings"])).alias("y")
-        met = y.join(x, F.col("x.token") == F.col("y.token")).filter(_close()).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")).distinct()
-        met = met.unionByName(new.select("s0", F.col("s0").alias("t0")).distinct())
-        left = met.join(F.broadcast(new.drop("tokens")), "s0")
+    def _met(self, x: DataFrame, after: dict) -> DataFrame:
+        """(s0, t0): sketches of new texts, of which ``x`` has the postings, and of any texts that share a token of their prefixes, close enough to each
+        other; texts under one sketch included. Buckets meet buckets."""
+        meetings = [x.alias("x").join(self.segments.table(s).alias("y"), F.col("x.token") == F.col("y.token")).filter(_close()) for s in after["postings"]]
+        met = [m.select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0")) for m in meetings]
+        return reduce(DataFrame.unionByName, [*met, x.select("s0", F.col("s0").alias("t0"))]).distinct()
+
+    def _hits_of_few(self, after: dict, new: DataFrame, segment: list) -> DataFrame:
+        """(tid): the texts of a small batch that are similar to an earlier one. What they meet is sent to the index's texts, which are read once."""
+        left = self._met(self.segments.table(segment), after).join(F.broadcast(new.select("tid", "s0", "s1", "s2", "n", "first")), "s0")
         right = self._texts(after).select(*(F.col(c).alias(o) for c, o in EARLIER.items()), F.col("packed").alias("theirs"))
-        return right.join(F.broadcast(left), "t0").filter(_possible()).filter(fp.similar("packed", "theirs")).select("tid").distinct()
+        pairs = right.join(F.broadcast(left), "t0").filter(_possible()).select("tid", "theirs")
+        return pairs.join(F.broadcast(new.select("tid", "packed")), "tid").filter(fp.similar("packed", "theirs")).select("tid").distinct()
 
-    def _hits(self, m: dict, after: dict, new: DataFrame, segment: list) -> DataFrame:
-        """(tid): the new texts that are similar to an earlier one. Buckets meet buckets; of history only what candidates name is moved."""
+    def _hits(self, after: dict, new: DataFrame, segment: list) -> DataFrame:
+        """(tid): the new texts that are similar to an earlier one. Of history only what candidates name is moved."""
         held = self._texts(after)
-        own = self._postings(segment)
+        own = self.segments.table(segment)
         parts, x = [], own
         hot = own.groupBy("token").count().filter(F.col("count") > self.hot).select("token")
         if hot.limit(1).count():
@@ -230,14 +211,7 @@ class HistoryIndex:
             parts.append(cut(self._decided(star, new, held), "hits"))
             x = own.join(cut(new.select("tid", "s0").join(parts[0], "tid", "left_anti").select("s0").distinct(), "undecided"), "s0", "left_semi")
 
-        def meetings(y: DataFrame) -> DataFrame:
-            """(s0, t0): sketches of undecided new texts and of ``y`` that share a token of their prefixes, close enough to each other."""
-            return x.alias("x").join(y.alias("y"), F.col("x.token") == F.col("y.token")).filter(_close()).select(F.col("x.s0").alias("s0"), F.col("y.s0").alias("t0"))
-
-        # each bucket is one file and sorted as written, so joins of buckets need no sort
-        with settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
-            met = cut(reduce(DataFrame.unionByName, [meetings(own), *(meetings(self._postings(s)) for s in m["postings"])]).distinct(), "met")
-        parts.append(self._decided(met.unionByName(new.select("s0", F.col("s0").alias("t0")).distinct()), new, held))
+        parts.append(self._decided(cut(self._met(x, after), "met"), new, held))
         return reduce(DataFrame.unionByName, parts).distinct()
 
     def _decided(self, met: DataFrame, new: DataFrame, held: DataFrame) -> DataFrame:
@@ -247,31 +221,20 @@ class HistoryIndex:
         pairs = right.join(left, "t0").filter(_possible()).select(F.col("tid").alias("a"), "b").distinct()
         return verified(cut(pairs, "candidates"), held).select(F.col("a").alias("tid")).distinct()
 
-    def _merge(self, after: dict) -> list:
-        """Merge the segments of each level that has FAN of them into one of the next; gives those that are no longer named."""
-        gone, level = [], 0
-        while len(own := [s for s in after["postings"] if s[3] == level]) >= FAN:
-            rows = reduce(DataFrame.unionByName, [self._postings(s) for s in own])
-            merged = self._write_postings(rows, sum(s[2] for s in own), level + 1)
-            after["postings"] = [s for s in after["postings"] if s not in own] + [merged]
-            gone += own
-            level += 1
-        return gone
-
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p1_found: ads whose text is similar to an earlier ad's, taken in run by run."""
+    """p1_found: ads whose text is similar to an earlier ad's, taken in as the first run, which is the history, and then TOGETHER later runs at a time."""
     ads = table(spark, sf_dir, "ads").select("id", "created_at", "date", "text")
-    return repeats(spark, by_run(ads)).select(F.col("id").alias("ad_id"))
+    return repeats(spark, by_run(ads, TOGETHER)).select(F.col("id").alias("ad_id"))
 
 
-def by_run(df: DataFrame) -> list[DataFrame]:
-    """A table parted by created_at, in order; rows without a stamp belong to the first part."""
+def by_run(df: DataFrame, together: int = 1) -> list[DataFrame]:
+    """A table parted by created_at, in order: the first run, then so many at a time; rows without a stamp belong to the first part."""
     stamp = F.col("created_at")
     stamps = sorted(r[0] for r in df.filter(stamp.isNotNull()).select("created_at").distinct().collect())  # stamps of import runs, not of rows
     if len(stamps) < 2:
         return [df]
-    return [df.filter(stamp.isNull() | (stamp == F.lit(stamps[0])))] + [df.filter(stamp == F.lit(s)) for s in stamps[1:]]
+    return [df.filter(stamp.isNull() | (stamp == F.lit(stamps[0])))] + [df.filter(stamp.between(F.lit(stamps[a]), F.lit(stamps[min(a + together, len(stamps)) - 1]))) for a in range(1, len(stamps), together)]
 
 
 def repeats(spark: SparkSession, batches: list[DataFrame], path: str | None = None, **options) -> DataFrame:
@@ -281,6 +244,6 @@ def repeats(spark: SparkSession, batches: list[DataFrame], path: str | None = No
     out = reduce(DataFrame.unionByName, [index.ingest(b) for b in batches])
     if path is None:
         for s in index.manifest()["postings"]:
-            index._forget(s)
+            index.segments.forget(s)
         remove(spark, at)
     return out

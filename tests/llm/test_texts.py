@@ -173,13 +173,12 @@ def test_a_crash_before_the_manifest_loses_nothing(spark, tmp_path, monkeypatch)
     assert sorted(got) == sorted({max(p) for p in truth(rows)})
 
 
-def test_hot_tokens_and_merged_segments(spark, rows, pairs, tmp_path, monkeypatch):
-    monkeypatch.setattr(history, "FAN", 2)
+def test_hot_tokens_and_merged_segments(spark, rows, pairs, tmp_path):
     key = {r[0]: (r[1], r[2], r[0]) for r in rows}
     want = {max(p, key=lambda i: key[i]) for p in pairs}
     runs = history.by_run(spark.createDataFrame(rows, A))
     for small, hot in ((0, 1), (20_000, 1)):
         at = f"file://{tmp_path}/h{small}"
-        assert sorted(r.id for r in history.repeats(spark, runs, path=at, small=small, hot=hot).collect()) == sorted(want)
+        assert sorted(r.id for r in history.repeats(spark, runs, path=at, small=small, hot=hot, fan=2).collect()) == sorted(want)
         left = history.HistoryIndex(spark, at).manifest()
         assert [s[3] for s in left["postings"]] == [1, 0] and len(left["texts"]) == 3
