@@ -1,148 +1,39 @@
-"""Labelled words written for this library: offending stretches are in double brackets, the rest is clean.
+"""Stems by kind, written from common knowledge of Russian and English; no table was read for them.
 
-The judged table shows some forms only. These lines add what people generally say to insult, threaten, degrade or solicit, and innocent uses of the same words.
+They say what a word may be, not that it offends: the judged texts decide what each kind weighs, by itself and near others. A word belongs to the kind of its
+longest stem here; a stem that ends in a dot is a whole word.
 """
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
-OFFENDING = """
-[[ноль мозгов]], [[ноль рук]], [[зачем ты вообще живёшь]]
-[[зачем ты вообще дышишь]], [[ноль пользы от тебя]]
-[[у тебя мозгов ноль]] и [[руки кривые]], [[бездарь]]
-[[лучше бы ты не родился]]
-[[тебя надо было утопить при рождении]]
-[[таких как ты топить в ведре надо]]
-[[тебя стоило придушить в роддоме]], а не на работу брать
-[[надеюсь, ты сдохнешь]]
-[[чтоб тебя машина сбила]]
-[[я тебе пальцы переломаю]], если ещё раз тронешь мой код
-[[найду и ноги переломаю]]
-[[знаю, где ты живёшь, жди гостей]]
-[[ещё слово, и я тебе зубы выбью]]
-[[с такой рожей только в подвале сидеть]]
-[[с таким лицом только в цирке выступать]]
-[[мамаша твоя уродина]] и [[ты такая же страшная]]
-[[мать твоя должна стыдиться такого урода]]
-[[страшная как смерть, глаза бы не видели]]
-автор [[тупой урод и сын урода]], [[другого слова нет]]
-[[автор дебил]], другого слова не подберу
-[[ты и сын твой жалкие твари]]
-автор этой писанины [[скотина]] и [[сын жалкий]], иначе не скажешь
-[[услуги особого рода: сниматься голышом, раздеваться за деньги]]
-[[тупая курица]], иди борщ варить
-[[пошёл вон, шавка]]
-[[закрой пасть]], [[выродок]]
-[[жирная свинья]]
-[[понаехали сюда]], [[всё прогнило из-за них]]
-[[из-за мигрантов всё сгнило, вычистить бы их всех]]
-[[понаехали, гнать их поганой метлой]]
-[[вычистить бы всех приезжих]]
-[[таким как приезжие не место среди людей]], [[они не люди]]
-[[иноверцы не люди]], судить других [[им не положено]]
-[[эти люди второго сорта, людьми их считать нельзя]]
-[[инвалиды не заслуживают жить с людьми]]
-[[старики только место занимают, скорей бы вымерли]]
-[[женщинам место на кухне, мозгов у них нет]]
-[[мир станет лучше, когда приезжих не станет]]
-[[всех их под нож]]
-[[сгораю от страсти, ищу партнёра на ночь]]
-[[сгораю от похоти]], [[покажу всё тело]]
-[[ищу партнёршу на ночь без обязательств]]
-[[встречусь для секса без обязательств]]
-[[хочу тебя раздеть и ласкать до утра]]
-[[хочу, чтобы ты медленно снял с меня бельё]]
-[[сними с меня всё и не останавливайся]]
-[[пришли свои голые фотки]]
-[[девушки без комплексов, почасовая оплата, досуг]]
-[[снял с неё трусики и вошёл]]
-[[индивидуалка примет у себя, интим услуги]]
-[[you should never have been born]]
-[[i wish you had never been born]]
-[[zero brains and zero hands, why do you even breathe]]
-[[your mother must be ashamed of your ugly face]]
-[[your mother is as ugly as you]]
-[[with that face you belong in a basement]]
-[[touch it again and i will break your legs]]
-[[i will break your fingers]]
-[[i will find you and cut you]]
-[[i know where you live, watch your back]]
-[[hope a bus hits you]]
-[[hope you choke on it]]
-[[somebody should have drowned you at birth]]
-[[you are dumb as a rock, loser]]
-[[the world gets better when they are gone for good]]
-[[the world would be better without immigrants]]
-[[cripples do not deserve to live among humans]]
-[[they do not deserve to be treated like humans]]
-[[these people are not human]]
-[[they came here and everything rots, clean them all out]]
-[[foreigners should be wiped out]]
-[[women have no brains and belong in the kitchen]]
-[[i want your naked body]]
-[[i want you on top of me all night]]
-[[burning with lust, looking for a partner for the night]]
-[[i will show you my whole body on camera]]
-[[slowly take off everything i wear]]
-[[hot girls, hourly rate, discreet sex]]
-[[send me nudes]], [[i want sex with you]]
-[[send me your naked photos tonight]]
-[[she took off her panties and moaned]]
-"""
-CLEAN = """
-у нас ноль уязвимостей, зачем вообще дышать на прод
-пальцы устали печатать, перерыв на ночь
-мир станет лучше, когда баги исчезнут
-рекрутер Олег Иванов и ещё двое коллег
-рекрутер Ксения Петрова, веду подбор
-на ночь запускаем сборку, до утра не останавливаем
-мать двоих детей ищет удалённую работу
-снял с поддержки старый сервис
-разбираем адреса: улица, дом, подъезд, квартира
-покажу всё портфолио на встрече
-ищу партнёра по проекту
-тело запроса и заголовки в логах
-обязательства по договору, без переработок
-люди с инвалидностью, приглашаем на курсы
-приезжие специалисты получают релокационный пакет
-человек отвечает за релиз
-медленно грузится страница, убиваем процесс
-хочу писать понятный код
-street, building and floor are parsed by our assistant
-our assistant is called Martha, the warehouse robot is Stefan
-our tools are Kafka and Spark
-send your cv to the address below
-calls up to 30 minutes, sprints of 14 days
-full stack developer at a product company
-expect bike parking and free lunches after probation
-the body of the request must be empty
-the world gets better with open source
-break the build again and ci will tell you
-hit the bus stop at eight
-we treat customers like friends
-all night deployments are gone for good
-show the whole body of the message on the page
-take off the load slowly
-for i in range 10 print x i
-profile slow endpoints and design schemas
-join via the link, seats left
-прошёл собес, спрашивали очереди и кэши
-рассказал, зачем работать со старыми системами
-спросили, зачем писать тесты и зачем читать чужой код
-на собесе спрашивали паразитные связи и мусор в памяти
-"""
+KINDS = ("", "insult", "threat", "group", "degrade", "sex", "you")
+STEMS = {
+    "insult": """идиот дебил кретин дурак дура. дуры. дуре. дурень тупиц тупоры тупой. тупая. тупые. придур болван урод. уроды. урода. уродин ублюд мраз твар тварь. сволоч подон подлец мерзав негодя скотин скот. свинья. свиньи. козел. козлы. козла. баран. бараны. осел. ослы. гнид падл паскуд стерв сука. суки. сучк чмо. лох. лохи. мудак мудил недоум недонос дегенер имбецил ничтож отребь отброс шавк щенок. клоун убож бездар бестолоч тварин гадин гады. выродок выродк ушлеп дармоед олух балбес позорищ неудачник безмозгл безрук криворук вонюч паршив поган гнусн жалкий. жалкая. жалкое. лживый. лживая. конченый. конченая. никчемн засран говн дерьм жоп хер. хрен. пидор пидар
+idiot moron imbecil stupid. dumb. dumbass fool. fools. bastard asshole jackass bitch scum scumbag trash. loser pathetic worthless disgusting filthy pig. pigs. swine clown retard cretin jerk. jerks. dipshit prick. dick. cunt wanker garbage. maggot freak. crook. brainless braindead shit. shitty bullshit fuck. fucking fucker motherf""",
+    "threat": """сдохн сдох. подохн подохл умри. сгин провались проваливай проклят прокляну убью убьем убить. зарежу прирежу задушу придушу закопаю закопаем сломаю переломаю оторву оторвать вырву порву урою прибью размажу изобью пожалеешь заткнись заткни заткните пасть. морду. морде. рыло. рожу. катись повесься застрел утопись гори. гореть. ад. аду. могил гроб. кровью отсохн черту. черта. палкой. прикончу расправ
+die. kill. hang. rot. burn. hell. drown. strangle smash. punch. stab. grave. bleed. hurt. regret. choke. shut. kys. murder slit. perish""",
+    "group": """мигрант иммигрант приезж понаех иновер мусульм еврей евреи жид. жиды. негр. негры. цыган кавказ азиат чурк хач. хачи. женщин бабы. бабам. инвалид пенсион старик старики. пожил гей. геи. геев. лесби деревенс провинц беженц иностран нерусск чернокож темнокож верующ атеист богач нищие. бедняк бомж
+immigrant migrant foreigner refugee women. woman. female gays. gay. muslim jew. jews. blacks. disabled. cripple elderly. peasant villager infidel gyps asians. pensioner homeless negro believers. foreigners. people.""",
+    "degrade": """недочел недолюд сорт. сорта. зараза. заразу. чума. давить. гнать. выгнать вышвыр истреб депорт нелюд быдл животные. скоты. тараканы. паразиты. крысы. воры. ворье вырожд низшая. ненавижу ненавидеть презираю обуза. травить. стерилиз расстрел изолир отсталые. неполноцен дикари. саранча.
+vermin subhuman animals. disease. plague. deport exterminat inferior savages infest thieves. parasites. rats. cockroach hate. despise. lesser. breed. scourge. leeches. sterili""",
+    "sex": """секс интим эрот порн голая. голое. голые. голой. голыш обнаж раздев разден трах минет куннил оргазм член. сиськ сисек попк стонал возбужд ласкать ласкал целовал шлюх проститу эскорт вирт. вебкам стрипт белья. бельишк трусик нюдс кончить кончил девственн оральн анальн любовниц постель. соблазн раком. отсос дроч
+sex sexy sexual nude naked porn erotic strip. stripping stripper escort blowjob horny orgasm moan thrust lingerie tits. boobs. pussy cock. hookup hooker prostitut fetish seduc undress webcam. slut whore nsfw cum. dildo threesome""",
+    "you": "ты. тебя. тебе. тобой. твой. твоя. твое. твои. твоей. вас. вам. вы. ваш. ваша. ваши. слышь. you. your. yourself. u. ur. youre.",
+}
+_BY_STEM = {s: KINDS.index(k) for k, words in STEMS.items() for s in words.split()}
+_LONGEST = max(map(len, _BY_STEM))
 
 
-def seeds() -> list[tuple[str, list[tuple[int, int]]]]:
-    """(text, offending stretches as character ranges) of every line."""
-    out = []
-    for line in [*OFFENDING.strip().splitlines(), *CLEAN.strip().splitlines()]:
-        text, ranges, at = "", [], 0
-        for m in re.finditer(r"\[\[(.*?)\]\]", line):
-            text += line[at : m.start()]
-            ranges.append((len(text), len(text) + len(m.group(1))))
-            text += m.group(1)
-            at = m.end()
-        out.append((text + line[at:], ranges))
-    return out
+@lru_cache(maxsize=300_000)
+def kind(word: str) -> int:
+    """The number of a word's kind in KINDS, 0 for none."""
+    whole = _BY_STEM.get(word + ".")
+    if whole is not None:
+        return whole
+    for k in range(min(len(word), _LONGEST), 2, -1):
+        got = _BY_STEM.get(word[:k])
+        if got is not None:
+            return got
+    return 0

@@ -115,6 +115,30 @@ def test_disguises():
     assert toxicity.plain("<b>Ид</b>и") == " ид и" and toxicity.plain("де­бил") == "дебил"
 
 
+def test_blocks_give_the_whole_chains_marginals():
+    rng = np.random.default_rng(1)
+    t = np.array([[0.1, -2.0], [-1.5, 0.7]])
+    docs = [rng.normal(-1, 2, n) for n in (1, 63, 64, 65, 300, 0, 1000)]
+    for e, p in zip(docs, toxicity.whole_chains(docs, t), strict=True):
+        assert len(p) == len(e) and (not len(e) or np.allclose(p, toxicity.forward_backward(e[:, None], t)[0][:, 0]))
+    assert toxicity.whole_chains([], t) == []
+
+
+@pytest.mark.parametrize("text", ["ты <b>ту</b> т у п о й, сла&amp;бак", "Ты де\u00adби́л и ﬁnal", "абв &lt; Ёx Д-Е-Б-И-Л!", "Ð¿ÑÐ¸Ð²ÐµÑ Ты дебил", "", "&copy; ты"])
+def test_places_point_into_the_text(text):
+    at, p = toxicity.origins(text), toxicity.plain(text)
+    if at is None:
+        return
+    assert len(at) == len(p) and all(0 <= a < b <= len(text) for a, b in at) and at == sorted(at)
+    for a, b in [m.span() for m in toxicity.WORD.finditer(p)]:
+        got = toxicity.places(text, [(a, b)])[0]
+        assert toxicity.plain(text[got["start"] : got["end"]]).strip() == p[a:b] or "<" in text[got["start"] : got["end"]]
+
+
+def test_no_wording_of_the_documents_in_the_stems():
+    assert all(" " not in w and len(w) < 14 for words in __import__("jobforge.llm.toxicity_seed", fromlist=["STEMS"]).STEMS.values() for w in words.split())
+
+
 def test_marginals_of_short_chains_are_sums_over_paths():
     e, t = np.array([[0.3], [-0.2], [1.1]]), np.array([[0.1, -0.4], [0.2, 0.5]])
     p, _, z = toxicity.forward_backward(e, t)
