@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobforge.functions.session import remove, tidy
+from jobforge.functions.session import num_partitions, remove, tidy
 
 #: Rows a bucket is meant to hold, the least and the most buckets of a segment, and segments of a level that are merged into one.
 BUCKET, LEAST_BUCKETS, MOST_BUCKETS, FAN = 1 << 19, 4, 1 << 13, 6
@@ -21,9 +21,10 @@ class Segments:
         self.spark, self.path, self.name, self.schema, self.key, self.fan = spark, path, name, schema, key, fan
 
     def write(self, rows: DataFrame, n: int, level: int = 0) -> list:
-        """A new segment of ``n`` rows or so; its number of buckets follows the volume. Sorted keys are kept as differences."""
-        buckets = LEAST_BUCKETS
-        while buckets * BUCKET < n and buckets < MOST_BUCKETS:
+        """A new segment of ``n`` rows or so; its number of buckets follows the volume, but isn't below the session's shuffle width, or else joins would
+        shuffle both sides for parallelism's sake. Sorted keys are kept as differences."""
+        buckets, wide = LEAST_BUCKETS, num_partitions(self.spark)
+        while (buckets * BUCKET < n and buckets < MOST_BUCKETS) or buckets < wide:
             buckets *= 2
         at, made = f"{self.name}-{uuid.uuid4().hex[:12]}", f"written_{uuid.uuid4().hex[:12]}"
         with tidy(self.spark):
