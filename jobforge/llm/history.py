@@ -32,8 +32,8 @@ from jobforge.operators.segments import FAN, Segments
 CHUNK = 1 << 12
 #: Texts of a file.
 FILE = 1 << 17
-#: What is left of a batch of up to so many rows is sent to the history's texts (some 10 MB); of a larger one it is joined by a shuffle.
-SMALL = 20_000
+#: What is left of a batch of up to so many rows is sent to the history's texts (some 30 MB); of a larger one it is joined by a shuffle.
+SMALL = 50_000
 #: Runs that the registered query takes in at a time: a batch costs some ten jobs, however small it is.
 TOGETHER = 4
 #: A token in more new texts than this is first held against its earliest text alone; only what that doesn't decide meets all the others.
