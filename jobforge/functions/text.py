@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters without which a text is composed (NFC) already: marks, conjoining jamo, and letters that have another canonical form.
+MAYBE_LOOSE = r"[\p{M}\u0340-\u0341\u0374\u037E\u0387\u1100-\u11FF\u1F71-\u1FFD\u2000-\u2001\u2126\u212A\u212B\u2329\u232A\uF900-\uFAFF\x{2F800}-\x{2FA1F}]"
+
 #: Names of currencies in the order in which they are replaced, and their signs.
 CURRENCY_WORDS = [("₽", ["рублей", "рубль", "рубли", "руб", " р ", " р.", " р,"]), ("$", ["долларов", "доллар", "usd"]), ("€", ["euro", "евро", "eur"])]
 
 
+def compose(c: Column) -> Column:
+    """Unicode NFC. Only texts that may not be composed yet are sent to Python, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def nfc(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return F.coalesce(nfc(F.when(F.regexp_like(c, F.lit(MAYBE_LOOSE)), c)), c)
+
+
+def compose_entries(entries: Column) -> Column:
+    """Text entries with their texts in NFC; only lists that need it are sent to Python."""
+
+    @F.pandas_udf("array<string>")
+    def nfc(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else [None if t is None else unicodedata.normalize("NFC", t) for t in x])
+
+    loose = F.exists(entries, lambda e: F.coalesce(F.regexp_like(e["text"], F.lit(MAYBE_LOOSE)), F.lit(False)))
+    made = nfc(F.when(loose, F.transform(entries, lambda e: e["text"])))
+    return F.when(made.isNull(), entries).otherwise(F.arrays_zip(F.transform(entries, lambda e: e["type"]).alias("type"), made.alias("text")).cast("array<struct<type:string,text:string>>"))
+
+
 def fold_dashes(c: Column) -> Column:
     return F.translate(c, "—–", "--")
 
@@ -44,7 +72,7 @@ def tight_ranges(c: Column) -> Column:
 
 
 def normalize_entry(c: Column) -> Column:
-    """A short entry: dashes, known characters, blanks, currency signs, thousands, ranges. Input is taken as composed (NFC)."""
+    """A short composed entry (``compose``): dashes, known characters, blanks, currency signs, thousands, ranges."""
     c = one_space(keep_known(fold_dashes(c)))
     c = one_space(currency_signs(c))
     return F.trim(tight_ranges(first_amount_sign(join_thousands(c))))
@@ -64,10 +92,19 @@ def normalize_tag(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^#", ""), "_{2,}", "_")
 
 
+def joined(entries: Column) -> Column:
+    """Composed entries in one text: plain ones normalised, others as they are, a blank after each."""
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.when(e["type"] == "plain", normalize_entry(e["text"])).otherwise(e["text"]), F.lit(" "))), "")
+
+
 def assemble(entries: Column) -> Column:
-    """A message's text: plain entries normalised, others as they are, a blank after each, then normalised as an ad."""
-    parts = F.transform(entries, lambda e: F.concat(F.when(e["type"] == "plain", normalize_entry(e["text"])).otherwise(e["text"]), F.lit(" ")))
-    return normalize_ad(F.array_join(parts, ""))
+    """A message's text: its entries composed and joined, then normalised as an ad."""
+    return normalize_ad(joined(compose_entries(entries)))
+
+
+def stack_name(c: Column) -> Column:
+    """A stack's name as it is compared: lower case, composed, trimmed."""
+    return F.trim(compose(F.lower(c)))
 
 
 def shingle_set(c: Column, k: int = 5) -> Column:

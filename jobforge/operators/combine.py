@@ -66,3 +66,28 @@ def stable_hue(c: Column) -> Column:
 def search(df: DataFrame, part: str, by: str = "median", most: int = 5) -> DataFrame:
     """Stacks whose name contains a part, case aside, by falling ``by``, ties by name."""
     return df.filter(F.lower("stack").contains(part.lower())).orderBy(F.isnan(by), F.desc(by), "stack").limit(most)
+
+
+def at_level(totals: DataFrame, per_level: DataFrame, level: int | None, key: tuple[str, ...] = ("stack",)) -> DataFrame:
+    """Figures of one level in the place of the totals: ``jobs`` 0 and NaN quantiles where the level is absent; without a level the totals themselves."""
+    if level is None:
+        return totals
+    own = per_level.filter(F.col("level") == level).drop("level")
+    j = totals.select(*key).join(own, list(key), "left")
+    return j.select(*key, F.coalesce("jobs", F.lit(0)).cast("long").alias("jobs"), *(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in DECILES))
+
+
+def yearly_metric(points: DataFrame, metric: str) -> DataFrame:
+    """(year, value) from points (year, median, mean, n): the largest or smallest median that is a number ("max", "min"), the mean weighted by n ("avg", null
+    without weight), or the median weighted by n ("median")."""
+    finite = F.when(~F.isnan("median"), F.col("median"))
+    if metric in ("max", "min"):
+        return points.groupBy("year").agg((F.max if metric == "max" else F.min)(finite).alias("value"))
+    if metric == "avg":
+        return points.groupBy("year").agg(F.try_divide(F.sum(F.col("mean") * F.col("n")), F.sum("n")).alias("value"))
+    return weighted_median(points.filter(~F.isnan("median")), ["year"], "median", "n").withColumnRenamed("weighted_median", "value")
+
+
+def selector(df: DataFrame) -> DataFrame:
+    """Stacks as a selector shows them: rank by falling number of jobs, ties by name."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "stack")))  # the stacks of a report

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobforge.functions.session import table
-from jobforge.functions.text import assemble, normalize_tag
+from jobforge.functions.text import compose_entries, joined, normalize_ad, normalize_tag
 
 #: Tags of job ads, tags of people looking for work, and the shortest text of an ad.
 AD_TAGS = ["#вакансия", "#работа", "#job", "#vacancy", "#fulltime", "#удаленка", "#офис", "#remote", "#удалёнка", "#удаленно", "#parttime", "#гибрид", "#work", "#удаленнаяработа", "#office", "#релокация", "#relocation", "#relocate", "#полная", "#фуллтайм"]
 SEEKER_TAGS = ["#резюме", "#ищу"]
 SHORTEST = 300
+LEVELS = range(8)
 #: Tags that name a level exactly, by level number.
 EXACT = {
     1: "intern intership interships trainee стажер стажёр стажерка стажировка стажировки student студент студенты",
@@ -55,12 +56,33 @@ def valid_messages(messages: DataFrame) -> DataFrame:
 
 
 def job_messages(messages: DataFrame) -> DataFrame:
-    """Messages with an ad's tag and no seeker's tag among their raw hashtags (case counts), whose assembled text is long enough."""
+    """Messages with an ad's tag and no seeker's tag among their raw hashtags (case counts), whose joined text is long enough before it is normalised as an ad."""
     raw = F.transform(F.filter("text_entries", lambda e: e["type"] == "hashtag"), lambda e: e["text"])
     lits = lambda xs: F.array(*map(F.lit, xs))
     m = valid_messages(messages).withColumn("_raw", raw).filter(F.arrays_overlap("_raw", lits(AD_TAGS)) & ~F.arrays_overlap("_raw", lits(SEEKER_TAGS)))
-    text = assemble(F.col("text_entries"))
-    return m.withColumn("text", text).filter(F.length("text") >= SHORTEST).drop("_raw")
+    long = m.withColumn("text", joined(compose_entries(F.col("text_entries")))).filter(F.length("text") >= SHORTEST)
+    return long.withColumn("text", normalize_ad(F.col("text"))).drop("_raw")
+
+
+def with_levels(df: DataFrame, level: str, fallback, text: str = "text", id_col: str = "id") -> DataFrame:
+    """Levels that are unknown (0 or null) from a plug-in that reads a text; blank texts aren't sent to it, and any error of it or a number that is no
+    level leaves the level unknown. The plug-in is a function of one text, called in Arrow batches."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for t in pdf["text"]:
+                try:
+                    got = int(fallback(t))
+                except Exception:  # noqa: BLE001 - whatever an outside service raises
+                    got = 0
+                out.append(got if got in LEVELS else 0)
+            yield pdf[["id"]].assign(level=out)
+
+    todo = df.filter((F.coalesce(level, F.lit(0)) == 0) & (F.length(F.trim(text)) > 0)).select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).dropDuplicates(["id"])
+    new = todo.mapInPandas(run, "id string, level int").select(F.col("id").alias("_id"), F.col("level").alias("_new"))
+    out = df.join(new, F.col(id_col).cast("string") == F.col("_id"), "left")
+    return out.withColumn(level, F.when(F.coalesce(level, F.lit(0)) == 0, F.coalesce("_new", F.lit(0))).otherwise(F.col(level))).select(*df.columns)
 
 
 def message_levels(spark, sf_dir: str) -> DataFrame:

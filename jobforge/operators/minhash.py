@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobforge.functions import hashing
-from jobforge.functions.session import cut, table
+from jobforge.functions.session import cut, drop_cut, keep, scratch, table
 from jobforge.functions.text import normalize_ad
 
 
@@ -37,8 +37,8 @@ class Model:
         return self.hashes // self.bands
 
 
-def vectors(df: DataFrame, model: Model = Model(), id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, signature, shingles, keys): signature of the normalised text, its number of distinct shingles, and a key per band.
+def vectors(df: DataFrame, model: Model = Model(), id_col: str = "id", text_col: str = "text", normalise: bool = True) -> DataFrame:
+    """(id, signature, shingles, keys): signature of the text, normalised or as it is, its number of distinct shingles, and a key per band.
 
     Null texts have no vector; a text shorter than a shingle has an all-ones signature."""
     masks, bits = hashing.family(model.hashes, model.universe, model.seed)
@@ -56,7 +56,7 @@ def vectors(df: DataFrame, model: Model = Model(), id_col: str = "id", text_col:
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(offsets, flat), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.string()))], ["id", "signature", "shingles", "keys"])
 
-    own = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), normalize_ad(F.col(text_col)).alias("text"))
+    own = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), (normalize_ad(F.col(text_col)) if normalise else F.col(text_col)).alias("text"))
     return own.mapInArrow(run, "id string, signature array<long>, shingles int, keys array<string>")
 
 
@@ -70,6 +70,11 @@ def greedy_distinct(order: DataFrame, in_buckets: DataFrame) -> DataFrame:
 
     Rounds of: drop whoever shares a bucket with a kept row; keep whoever is first among the undecided in all its buckets. Buckets are never
     expanded into pairs, so one that holds a third of all rows costs as much as its rows. Rows without buckets are kept."""
+    with scratch(order.sparkSession):
+        return keep(cut(_rounds(order, in_buckets), "distinct"))
+
+
+def _rounds(order: DataFrame, in_buckets: DataFrame) -> DataFrame:
     state = cut(in_buckets.join(order, "id").select("id", "rank", "band", "key"), "lsh")
     kept = None
     while True:
@@ -81,7 +86,8 @@ def greedy_distinct(order: DataFrame, in_buckets: DataFrame) -> DataFrame:
         kept = new if kept is None else kept.unionByName(new)
         hit = state.join(new, "id", "left_semi").select("band", "key").distinct()
         gone = state.join(hit, ["band", "key"], "left_semi").select("id").distinct()
-        state = cut(state.join(gone, "id", "left_anti"), "lsh")
+        before, state = state, cut(state.join(gone, "id", "left_anti"), "lsh")
+        drop_cut(before)
     loose = order.join(in_buckets.select("id").distinct(), "id", "left_anti").select("id")
     return loose if kept is None else loose.unionByName(kept)
 

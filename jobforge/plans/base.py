@@ -8,7 +8,6 @@ from jobforge.functions import hashing, text
 from jobforge.functions.session import cut, table
 from jobforge.operators import combine, levels, merge, minhash, outliers, rates, salary, stats
 from jobforge.operators.delivery import plain_chat_id
-from jobforge.plans import pipelines, reports
 from jobforge.plans import sql as S
 from jobforge.sources import files
 
@@ -126,7 +125,6 @@ query("flt3_tagged_messages", f"SELECT id FROM messages WHERE list_has_any({_TAG
         F.transform(F.filter("text_entries", lambda e: e["type"] == "hashtag"), lambda e: e["text"])
     )
 )
-query("flt4_job_messages")(lambda s, d: levels.job_messages(table(s, d, "messages")).select("id", F.length("text").alias("length")))
 query("flt5_before_month", "SELECT id, date FROM salaries WHERE date < DATE '2025-07-01'")(lambda s, d: stats.before_month(table(s, d, "salaries"), S.AS_OF).select("id", "date"))
 query("flt6_date_range", "SELECT id, date FROM salaries WHERE date BETWEEN DATE '2024-03-01' AND DATE '2024-09-30'")(lambda s, d: table(s, d, "salaries").filter(F.col("date").between("2024-03-01", "2024-09-30")).select("id", "date"))
 query("flt7_last_month", "SELECT id, date FROM ads WHERE date BETWEEN DATE '2025-06-01' AND DATE '2025-06-30'")(
@@ -140,7 +138,6 @@ query("flt12_unclassified", "SELECT id FROM ads WHERE location = 0 AND work_form
 query("prj2_hashtags", "SELECT id, array_to_string(list_transform(list_filter(text_entries, lambda e: e.type = 'hashtag'), lambda e: lower(e.text)), ' ') AS tags FROM messages")(
     lambda s, d: table(s, d, "messages").select("id", F.array_join(levels.hashtags(F.col("text_entries")), " ").alias("tags"))
 )
-query("prj3_message_text")(lambda s, d: table(s, d, "messages").select("id", text.assemble(F.col("text_entries")).alias("text")))
 query("prj4_midpoint", _with(S.SAL) + f" SELECT id, {S.MID} AS mid FROM sal")(lambda s, d: stats.salaries(s, d).select("id", stats.midpoint().alias("mid")))
 query("prj5_labels", "SELECT id, ['Unknown','Russia','Belarus','Cis','Europe','Us','MiddleEast','Other'][location + 1] AS location, ['Unknown','OnSite','Hybrid','RemoteDomestic','RemoteWorldwide'][work_format + 1] AS work_format FROM ads")(
     lambda s, d: table(s, d, "ads").select("id", stats.names(F.col("location"), stats.LOCATIONS).alias("location"), stats.names(F.col("work_format"), stats.FORMATS).alias("work_format"))
@@ -161,31 +158,12 @@ query("jn7_chats_with_messages", f"SELECT id FROM chats c WHERE EXISTS (SELECT 1
     lambda s, d: table(s, d, "chats").join(table(s, d, "messages").select(plain_chat_id(F.col("telegram_chat_id")).alias("telegram_id")), "telegram_id", "left_semi").select("id")
 )
 query("jn8_lookup", "SELECT s.id, a.location, a.work_format FROM salaries s JOIN ads a ON a.id = s.ad_id")(lambda s, d: table(s, d, "salaries").select("id", "ad_id").join(table(s, d, "ads").select(F.col("id").alias("ad_id"), "location", "work_format"), "ad_id").select("id", "location", "work_format"))
-query("jn9_chat_stack", f"""WITH m AS (SELECT {S.CHAT} AS chat, {S.guid("a.stack_id")} AS stack_id, count(*) AS n FROM ads a JOIN messages m ON m.id = a.message_id WHERE a.stack_id IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY n DESC, stack_id) AS k FROM m) SELECT chat, lower(trim(t.name)) AS stack FROM r JOIN technology_stacks t ON t.id = r.stack_id WHERE k = 1""")(
-    lambda s, d: minhash.latest(
-        stats.ads(s, d).filter("stack_id IS NOT NULL").select("message_id", "stack_id").join(table(s, d, "messages").select(F.col("id").alias("message_id"), plain_chat_id(F.col("telegram_chat_id")).alias("chat")), "message_id").groupBy("chat", "stack_id").agg(F.count(F.lit(1)).alias("n")), ["chat"], [F.desc("n"), "stack_id"]
-    ).join(table(s, d, "technology_stacks").select(F.col("id").alias("stack_id"), F.lower(F.trim("name")).alias("stack")), "stack_id").select("chat", "stack")
-)
 query("jn10_chat_counts", f"SELECT c.telegram_id, min(m.telegram_message_date)::DATE AS first_day, count(*) AS n FROM chats c JOIN messages m ON {S.CHAT} = c.telegram_id GROUP BY ALL")(
     lambda s, d: table(s, d, "chats").select("telegram_id").join(table(s, d, "messages").select(plain_chat_id(F.col("telegram_chat_id")).alias("telegram_id"), "telegram_message_date").groupBy("telegram_id").agg(F.to_date(F.min("telegram_message_date")).alias("first_day"), F.count(F.lit(1)).alias("n")), "telegram_id")
 )
 query("jn11_fx_lookup", _with(S.RATES) + ", s AS (SELECT DISTINCT id, date, currency FROM salaries) SELECT s.id, CASE WHEN s.currency = 3 THEN 1.0 ELSE round(coalesce(f.value, 0.0), 6) END AS rate FROM s LEFT JOIN filled f ON f.date = s.date AND f.target = CASE s.currency WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' END")(
     lambda s, d: salary.exact_rates(table(s, d, "salaries").select("id", "date", "currency").distinct(), table(s, d, "rates")).select("id", F.round("rate", 6).alias("rate"))
 )
-query("jn13_missing_stacks", "WITH w AS (SELECT DISTINCT lower(trim(name)) AS name FROM chats) SELECT name FROM w WHERE name <> '' AND name NOT IN (SELECT lower(trim(name)) FROM technology_stacks)")(lambda s, d: merge.missing_names(table(s, d, "technology_stacks"), table(s, d, "chats")))
-query("jn14_stack_backfill", f"""WITH a AS (SELECT a.id, {S.guid("a.stack_id")} AS stack_id, m.chat FROM ads a LEFT JOIN (SELECT DISTINCT id, {S.CHAT} AS chat FROM messages) m ON m.id = a.message_id),
-c AS (SELECT chat, stack_id, count(*) AS n FROM a WHERE stack_id IS NOT NULL AND chat IS NOT NULL GROUP BY ALL), b AS (SELECT chat, stack_id AS best FROM (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY n DESC, stack_id) AS k FROM c) WHERE k = 1)
-SELECT a.id, coalesce(a.stack_id, b.best) AS stack_id FROM a LEFT JOIN b USING (chat)""")(
-    lambda s, d: (lambda a: a.join(minhash.latest(a.filter("stack_id IS NOT NULL AND chat IS NOT NULL").groupBy("chat", "stack_id").agg(F.count(F.lit(1)).alias("n")), ["chat"], [F.desc("n"), "stack_id"]).select("chat", F.col("stack_id").alias("best")), "chat", "left").select("id", F.coalesce("stack_id", "best").alias("stack_id")))(
-        stats.ads(s, d).select("id", "stack_id", "message_id").join(table(s, d, "messages").select(F.col("id").alias("message_id"), plain_chat_id(F.col("telegram_chat_id")).alias("chat")).distinct(), "message_id", "left")
-    )
-)
-query("jn15_assign_stack", "WITH n AS (SELECT id FROM technology_stacks WHERE lower(trim(name)) = '.net') SELECT a.id, coalesce(a.stack_id, (SELECT id FROM n)) AS stack_id FROM ads a WHERE a.message_id IN (SELECT id FROM messages)")(
-    lambda s, d: (lambda n: table(s, d, "ads").join(table(s, d, "messages").select(F.col("id").alias("message_id")), "message_id", "left_semi").join(F.broadcast(n), F.lit(True), "left").select("id", F.coalesce("stack_id", "net").alias("stack_id")))(
-        table(s, d, "technology_stacks").filter("lower(trim(name)) = '.net'").select(F.col("id").alias("net")).limit(1)
-    )
-)
 
 # sorts, limits, sets ----------------------------------------------------------------------------------------------------------------------
 query("srt2_stacks_by_median", _with(S.SAL, S.STACKED, TOP) + f""", cmp AS (WITH {S.comparison("own", "stack")}) SELECT stack, jobs, median, row_number() OVER (ORDER BY {S.nan("median")}, median DESC, stack)::INT AS rank FROM cmp""")(
@@ -198,43 +176,28 @@ query("pag1_page", "SELECT id FROM ads ORDER BY id LIMIT 50 OFFSET 100")(lambda
 query("set1_union_all", "SELECT id FROM ads UNION ALL SELECT ad_id FROM salaries")(lambda s, d: table(s, d, "ads").select("id").unionAll(table(s, d, "salaries").select("ad_id")))
 query("set2_union", "SELECT id FROM ads UNION SELECT ad_id FROM salaries")(lambda s, d: table(s, d, "ads").select("id").union(table(s, d, "salaries").select("ad_id")).distinct())
 query("set3_except", "SELECT id FROM ads EXCEPT SELECT ad_id FROM salaries")(lambda s, d: table(s, d, "ads").select("id").subtract(table(s, d, "salaries").select("ad_id")))
-query("set4_distinct_names", "SELECT DISTINCT lower(trim(name)) AS name FROM chats")(lambda s, d: table(s, d, "chats").select(F.lower(F.trim("name")).alias("name")).distinct())
 
 # text, hashes -----------------------------------------------------------------------------------------------------------------------------
 query("str10_normalized_ads", "SELECT id, trim(regexp_replace(regexp_replace(text, ' [.,;:]', ' ', 'g'), '[\\s\\x{85}\\p{Z}]+', ' ', 'g')) AS text FROM ads")(lambda s, d: table(s, d, "ads").select("id", text.normalize_ad(F.col("text")).alias("text")))
-query("str9_normalized_entries")(lambda s, d: table(s, d, "ads").select("id", text.normalize_entry(F.col("text")).alias("text")))
 query("str12_tags", "SELECT tag, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(lower(trim(unnest(tags))), '^#', ''), '_{2,}', '_', 'g') AS tag FROM messages) GROUP BY ALL")(
     lambda s, d: table(s, d, "messages").select(F.explode("tags").alias("t")).groupBy(text.normalize_tag(F.col("t")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 )
-query("str13_stack_names", "SELECT id, lower(trim(name)) AS name FROM technology_stacks")(lambda s, d: table(s, d, "technology_stacks").select("id", F.lower(F.trim("name")).alias("name")))
 query("dat_parts", "SELECT id, year(date)::INT AS year, strftime(date, '%m') AS month, date_trunc('month', date)::DATE AS first_day, last_day(date) AS last_day FROM ads")(
     lambda s, d: table(s, d, "ads").select("id", F.year("date").alias("year"), F.date_format("date", "MM").alias("month"), F.trunc("date", "MM").alias("first_day"), F.last_day("date").alias("last_day"))
 )
 query("mth_roundings", "SELECT target, date, round_even(value, 1) AS even, round(value, 4) AS away FROM (SELECT DISTINCT target, date, value FROM rates)")(
     lambda s, d: table(s, d, "rates").select("target", "date", "value").distinct().select("target", "date", F.bround("value", 1).alias("even"), F.round("value", 4).alias("away"))
 )
-query("hsh1_fnv_names", "SELECT id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(generate_series(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295) AS hash FROM (SELECT id, hex(encode(name)) AS h FROM chats WHERE name <> '')")(
-    lambda s, d: table(s, d, "chats").filter("name <> ''").select("id", hashing.fnv1a(F.col("name")).alias("hash"))
-)
 query("hsh5_sha256", "SELECT id, sha256(text) AS digest FROM ads WHERE text IS NOT NULL")(lambda s, d: table(s, d, "ads").filter("text IS NOT NULL").select("id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")))
-query("hsh7_name_guids")(lambda s, d: table(s, d, "chats").select("id", hashing.name_guid(NAMESPACE, F.col("telegram_id").cast("string")).alias("guid")))
-query("shg1_shingles", "SELECT id, CASE WHEN len(text) < 5 THEN 0 ELSE len(list_distinct(list_transform(generate_series(1, len(text) - 4), lambda i: substr(text, i, 5)))) END::INT AS n FROM (SELECT id, name AS text FROM chats)")(
-    lambda s, d: table(s, d, "chats").select("id", F.size(text.shingle_set(F.col("name"))).alias("n"))
-)
 
 # distinct ads ------------------------------------------------------------------------------------------------------------------------------
 query("ded2_distinct")(minhash.distinct_ads)
 query("ded4_vectors")(lambda s, d: minhash.vectors(table(s, d, "ads")).select("id", "shingles", F.sha2(F.to_json("signature"), 256).alias("digest")))
 query("jn12_buckets")(lambda s, d: minhash.buckets(minhash.vectors(table(s, d, "ads"))))
 query("ded3_near_pairs")(lambda s, d: minhash.near_pairs(minhash.vectors(table(s, d, "ads")), minhash.Model().duplicate))
-query("ded6_missing_vectors", "SELECT id FROM ads WHERE is_unique AND created_at > (SELECT min(created_at) FROM ads)")(
-    lambda s, d: (lambda a: a.filter("is_unique").join(a.groupBy("created_at").agg(F.count(F.lit(1)).alias("n")).orderBy("created_at").limit(1).select("created_at"), "created_at", "left_anti").select("id"))(table(s, d, "ads"))
-)
 query("snk7_mark_unique")(lambda s, d: minhash.mark_unique(table(s, d, "ads"), minhash.distinct_ads(s, d)).select("id", "is_unique"))
 
 # tags and salaries ---------------------------------------------------------------------------------------------------------------------------
-query("lvl3_message_levels")(levels.message_levels)
-query("lvl5_backfill")(lambda s, d: pipelines.PIPELINES.run(["update-levels"], {n: table(s, d, n).distinct() if n == "salaries" else table(s, d, n) for n in ("ads", "messages", "salaries")})["salaries"].groupBy("level").agg(F.count(F.lit(1)).alias("n")))
 _B = lambda c: f"CASE WHEN {c} IS NULL OR {c} = -1 THEN 'NaN'::DOUBLE ELSE {c} END"
 query("sal_normalized", _with(S.RATES) + f""", s AS (SELECT DISTINCT id, ad_id, date, currency, lower_bound, upper_bound, period FROM salaries), b AS (SELECT *, {_B("lower_bound")} AS l, {_B("upper_bound")} AS u FROM s),
 o AS (SELECT *, CASE WHEN {S.nan("l")} THEN u WHEN {S.nan("u")} THEN l ELSE least(l, u) END AS lo, CASE WHEN {S.nan("u")} THEN l WHEN {S.nan("l")} THEN u ELSE greatest(l, u) END AS hi FROM b),
@@ -251,9 +214,6 @@ def _split(s, d, name):
     return t.join(first, "created_at", "left_semi"), t.join(first, "created_at", "left_anti")
 
 
-query("snk1_insert_messages", "SELECT id FROM messages WHERE created_at = (SELECT min(created_at) FROM messages) UNION ALL SELECT id FROM messages WHERE created_at > (SELECT min(created_at) FROM messages) AND id NOT IN (SELECT id FROM messages WHERE created_at = (SELECT min(created_at) FROM messages))")(
-    lambda s, d: (lambda x: merge.insert_new(x[0].select("id"), x[1].select("id"), ["id"]))(_split(s, d, "messages"))
-)
 query("snk3_upsert_chats", f"""WITH inc AS (SELECT {S.CHAT} AS telegram_id, max(telegram_message_date) AS updated_at FROM messages GROUP BY ALL)
 SELECT coalesce(c.telegram_id, i.telegram_id) AS telegram_id, c.name, coalesce(i.updated_at, c.updated_at) AS updated_at FROM chats c FULL JOIN inc i ON i.telegram_id = c.telegram_id""")(
     lambda s, d: merge.upsert(
@@ -261,12 +221,6 @@ SELECT coalesce(c.telegram_id, i.telegram_id) AS telegram_id, c.name, coalesce(i
         table(s, d, "messages").groupBy(plain_chat_id(F.col("telegram_chat_id")).alias("telegram_id")).agg(F.max("telegram_message_date").alias("updated_at")).withColumn("name", F.lit(None).cast("string")), ["telegram_id"], ["updated_at"]
     )
 )
-query("snk8_update_places", "WITH c AS (SELECT a.id, max(s.level) AS lv FROM ads a JOIN salaries s ON s.ad_id = a.id GROUP BY ALL) SELECT a.id, CASE WHEN a.location = 0 AND c.lv > 0 THEN c.lv ELSE a.location END::INT AS location FROM ads a LEFT JOIN c USING (id)")(
-    lambda s, d: merge.update_where(table(s, d, "ads").select("id", "location"), table(s, d, "salaries").groupBy(F.col("ad_id").alias("id")).agg(F.max("level").alias("lv")).select("id", F.when(F.col("lv") > 0, F.col("lv")).alias("location")), "id", ["location"], F.col("location") == 0).withColumn("location", F.col("location").cast("int"))
-)
-query("snk11_migrate_ids")(
-    lambda s, d: merge.migrate_ids(stats.ads(s, d).select("id", "stack_id"), table(s, d, "technology_stacks").select(F.col("id").alias("old"), hashing.name_guid(NAMESPACE, F.lower(F.trim("name"))).alias("new")), "stack_id").groupBy("stack_id").agg(F.count(F.lit(1)).alias("n"))
-)
 query("snk15_finite_json", f"SELECT count(*) AS n FROM salaries WHERE {S.nan('lower_bound_normalized')} OR {S.nan('upper_bound_normalized')}")(
     lambda s, d: files.finite_json(table(s, d, "salaries").select("id", F.col("lower_bound_normalized").alias("l"), F.col("upper_bound_normalized").alias("u"))).filter("get_json_object(json, '$.l') IS NULL OR get_json_object(json, '$.u') IS NULL").agg(F.count(F.lit(1)).alias("n"))
 )
@@ -295,18 +249,3 @@ query("js10_axis_step", _with(S.SAL) + " , m AS (SELECT level, count(*) AS n FRO
 query("js12_stack_hues", "SELECT name, (list_reduce(list_prepend(0::BIGINT, list_transform(generate_series(1, len(name)), lambda i: unicode(substr(name, i, 1))::BIGINT)), lambda a, b: (a * 31 + b) & 4294967295) % 360)::INT AS hue FROM technology_stacks")(
     lambda s, d: table(s, d, "technology_stacks").select("name", combine.stable_hue(F.col("name")).alias("hue"))
 )
-
-# reports ---------------------------------------------------------------------------------------------------------------------------------------
-query("rpt1_ad_reports")(lambda s, d: reports.ad_reports(stats.before_month(stats.salaries(s, d), S.AS_OF), table(s, d, "ads")))
-
-
-def _salary_reports(s, d):
-    x = cut(stats.salaries(s, d), "salaries")
-    g, v = outliers.remove(x), cut(outliers.remove_by_level(x), "kept")
-    own = v.filter("level <> 0")
-    return reports.salary_reports(stats.yearly(g, v), stats.yearly(own, own, ["level"]))
-
-
-query("rpt1_salary_reports")(_salary_reports)
-query("loc2_places")(lambda s, d: pipelines.classify_places(table(s, d, "ads").select("id", "text", "location", "work_format"), pipelines.by_words).groupBy("location", "work_format").agg(F.count(F.lit(1)).alias("n")))
-query("pip1_backfilled_stacks")(lambda s, d: pipelines.PIPELINES.run(["backfill-stacks"], {n: table(s, d, n) for n in ("ads", "messages")})["ads"].groupBy("stack_id").agg(F.count(F.lit(1)).alias("n")))

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import guid
-from jobforge.operators import levels, merge, minhash
-from jobforge.operators.delivery import plain_chat_id
+from jobforge.operators import extraction, levels, merge, minhash, stacks, vectors
 
 Tables = dict[str, DataFrame]
 Step = Callable[[Tables], Tables]
@@ -58,11 +56,8 @@ def _mark(t: Tables) -> Tables:
 @PIPELINES.add("init-vectors")
 def _vectors(t: Tables) -> Tables:
     """Vectors and buckets of unique ads that have none."""
-    todo = t["ads"].filter("is_unique")
-    if "vectors" in t:
-        todo = todo.join(t["vectors"].select("id"), "id", "left_anti")
-    v = minhash.vectors(todo)
-    new = {"vectors": v, "buckets": minhash.buckets(v)}
+    v = vectors.vector_rows(vectors.missing(t["ads"], t["vectors"]) if "vectors" in t else t["ads"].filter("is_unique"))
+    new = {"vectors": v, "buckets": vectors.bucket_rows(v)}
     return {k: t[k].unionByName(df) if k in t else df for k, df in new.items()}
 
 
@@ -76,33 +71,50 @@ def _levels(t: Tables) -> Tables:
 
 @PIPELINES.add("backfill-stacks")
 def _stacks(t: Tables) -> Tables:
-    """Ads without a stack take the commonest of their chat, ties by id."""
-    chat = t["messages"].select(F.col("id").alias("message_id"), plain_chat_id(F.col("telegram_chat_id")).alias("chat")).dropDuplicates(["message_id"])
-    a = t["ads"].withColumn("stack_id", guid(F.col("stack_id"))).join(chat, "message_id", "left")
-    per = a.filter("stack_id IS NOT NULL AND chat IS NOT NULL").groupBy("chat", "stack_id").agg(F.count(F.lit(1)).alias("n"))
-    best = minhash.latest(per, ["chat"], [F.desc("n"), "stack_id"]).select("chat", F.col("stack_id").alias("_best"))
-    return {"ads": a.join(best, "chat", "left").withColumn("stack_id", F.coalesce("stack_id", "_best")).drop("chat", "_best")}
+    """Unique ads without a stack take the one their chat maps to."""
+    return {"ads": stacks.backfilled(stacks.with_guids(t["ads"]), t["messages"], t["chats"], t["mapping"], t["stacks"])}
 
 
-def classify_places(ads: DataFrame, extract: Callable[[str], tuple[int, int]]) -> DataFrame:
-    """Location and work format of ads that have neither, by a plug-in that reads a text (0 for unknown); blank texts aren't sent to it."""
+@PIPELINES.add("migrate-ids")
+def _ids(t: Tables) -> Tables:
+    return merge.migrate_all(t, MESSAGES_SPACE, ADS_SPACE)
 
-    def run(batches):
-        for pdf in batches:
-            got = [extract(t) if t and t.strip() else (0, 0) for t in pdf["text"]]
-            yield pdf[["id"]].assign(location=[g[0] for g in got], work_format=[g[1] for g in got])
 
-    todo = ads.filter("location = 0 AND work_format = 0").select("id", "text")
-    new = todo.mapInPandas(run, "id string, location int, work_format int").filter("location > 0 OR work_format > 0")
-    return merge.update_where(ads, new, "id", ["location", "work_format"])
+#: Namespaces of identifiers made from names, their bytes in mixed-endian order, as hex.
+MESSAGES_SPACE, ADS_SPACE = "10b8a76bad9dd11180b400c04fd430c8", "11b8a76bad9dd11180b400c04fd430c8"
+
+
+#: Words that give a place or a format away, in the order in which they are looked for, for reading places without a plug-in.
+PLACE_WORDS = [
+    ("белорус", 2), ("беларус", 2), ("минск", 2), ("росси", 1), ("москв", 1), ("петербург", 1), ("новосибирск", 1), ("екатеринбург", 1), ("казань", 1), ("russia", 1), ("moscow", 1),
+    ("казахстан", 3), ("алматы", 3), ("узбекистан", 3), ("ташкент", 3), ("армени", 3), ("ереван", 3), ("грузи", 3), ("тбилиси", 3), ("kazakhstan", 3), ("armenia", 3), ("georgia", 3),
+    ("европ", 4), ("berlin", 4), ("берлин", 4), ("герман", 4), ("польш", 4), ("сербия", 4), ("кипр", 4), ("germany", 4), ("poland", 4), ("cyprus", 4), ("europe", 4), ("amsterdam", 4), ("london", 4),
+    ("usa", 5), ("сша", 5), ("new york", 5), ("california", 5), ("дубай", 6), ("оаэ", 6), ("dubai", 6), ("uae", 6), ("израил", 6), ("israel", 6), ("tel aviv", 6),
+]
+FORMAT_WORDS = [
+    ("из любой точки", 4), ("anywhere", 4), ("worldwide", 4), ("внутри страны", 3), ("within the country", 3), ("удаленно по рф", 3), ("удалённо по рф", 3), ("гибрид", 2), ("hybrid", 2), ("два дня в неделю", 2),
+    ("только офис", 1), ("office only", 1), ("on-site", 1), ("onsite", 1), ("в офисе", 1),
+]
 
 
-#: Words that give a place or a format away, for the plug-in that needs no network.
-PLACE_WORDS = [("белорус", 2), ("минск", 2), ("росси", 1), ("москв", 1), ("казахстан", 3), ("европ", 4), ("berlin", 4), ("usa", 5), ("дубай", 6)]
-FORMAT_WORDS = [("из любой точки", 4), ("anywhere", 4), ("внутри страны", 3), ("within the country", 3), ("гибрид", 2), ("hybrid", 2), ("два дня в неделю", 2), ("только офис", 1), ("office only", 1)]
+def by_words(text: Column) -> tuple[Column, Column]:
+    """Location and work format of a text: the first word of each list that it holds, 0 for none."""
+    t = F.lower(text)
 
+    def first(words: list) -> Column:
+        return F.coalesce(*(F.when(F.contains(t, F.lit(w)), F.lit(k)) for w, k in words), F.lit(0))
 
-def by_words(text: str) -> tuple[int, int]:
-    """The default plug-in: first fitting word of each list."""
-    t = text.lower()
-    return next((p for w, p in PLACE_WORDS if w in t), 0), next((f for w, f in FORMAT_WORDS if w in t), 0)
+    return first(PLACE_WORDS), first(FORMAT_WORDS)
+
+
+def classify_places(ads: DataFrame, extract: Callable[[str], str] | None = None) -> DataFrame:
+    """Location and work format of ads that have neither, by a plug-in that answers for a text (``extraction.answers``: a spent quota ends its calls), or by
+    words; blank texts aren't read, and where both stay unknown nothing is written."""
+    todo = ads.filter("location = 0 AND work_format = 0").select("id", "text")
+    if extract is None:
+        place, form = by_words(F.col("text"))
+        new = todo.filter(F.length(F.trim("text")) > 0).select("id", place.alias("location"), form.alias("work_format"))
+    else:
+        got = extraction.answers(todo, extract).select("id", extraction.parsed(F.col("answer")).alias("p"))
+        new = got.select("id", F.coalesce("p.location", F.lit(0)).alias("location"), F.coalesce("p.work_format", F.lit(0)).alias("work_format"))
+    return merge.update_places(ads, new)

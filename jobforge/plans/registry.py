@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from jobforge.operators import delivery, hotkeys, units
-from jobforge.plans import base, sql
+from jobforge.plans import base, more, sql  # noqa: F401 - more adds to the queries of base
 
 
 G, C = sql.guid("stack_id"), sql.CHAT

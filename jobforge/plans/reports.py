@@ -8,7 +8,7 @@ import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobforge.operators import stats
@@ -54,6 +54,11 @@ def finite(v):
     return None if isinstance(v, float) and not math.isfinite(v) else v
 
 
+def first_then(first: Column, others: Column) -> Column:
+    """A list of locales in lower case, once each, with one of them first."""
+    return F.array_distinct(F.transform(F.concat(F.array(first), others), F.lower))
+
+
 def metadata(site: str, base_url: str, locales: list[str], primary: str, published: dt.datetime, kind: str = "Dataset") -> dict:
     """Page metadata with JSON-LD; locales once each, the primary first."""
     seen = list(dict.fromkeys(x.lower() for x in [primary, *locales]))
@@ -82,7 +87,7 @@ def write_html(root: str, now: dt.datetime, charts: dict[str, dict], texts: dict
         head = f'<title>{html.escape(t["title"])}</title><link rel="canonical" href="{html.escape(meta["canonical"])}">'
         head += "".join(f'<link rel="alternate" hreflang="{k}" href="{html.escape(v)}">' for k, v in meta["alternates"].items())
         head += f'<script type="application/ld+json">{json.dumps(meta["jsonld"], ensure_ascii=False)}</script>'
-        body = "".join(f'<section id="{html.escape(k)}"><h2>{html.escape(t[k])}</h2></section>' for k in charts)
+        body = page(charts, t)
         p = run_folder(root, now) / locale / "index.html"
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(f'<!doctype html><html lang="{locale}"><head><meta charset="utf-8">{head}</head><body>{body}<script id="data" type="application/json">{json.dumps(finite(charts), ensure_ascii=False)}</script></body></html>')
@@ -90,6 +95,43 @@ def write_html(root: str, now: dt.datetime, charts: dict[str, dict], texts: dict
     return out
 
 
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def month_key(key: Column, texts: dict[str, str]) -> Column:
+    """"YYYY MM" and "MM" with the month by name; a month beyond 12 is an error, other keys stay."""
+    name = F.create_map(*(x for i, m in enumerate(MONTHS) for x in (F.lit(f"{i + 1:02}"), F.lit(texts[f"month.{m}"]))))
+    digits = F.regexp_extract(key, r"^(?:[0-9]{4} )?([0-9]{2})$", 1)
+    found = F.coalesce(F.try_element_at(name, digits), F.raise_error(F.concat(F.lit("no month "), digits)))
+    return F.when(digits == "", key).when(F.length(key) == 2, found).otherwise(F.concat(F.substring(key, 1, 5), found))
+
+
+def variant_key(key: Column, texts: dict[str, str]) -> Column:
+    """"All" and the names of levels, case aside, in a locale's words; other keys stay."""
+    own = {"all": texts["variant.all"], "все": texts["variant.all"], **{n.lower(): texts[f"level.{n.lower()}"] for n in stats.LEVELS}}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in own.items() for x in kv)), F.lower(key)), key)
+
+
+def localized(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Report rows with their keys and series in a locale's words."""
+    return rows.withColumn("key", month_key(F.col("key"), texts)).withColumn("series", variant_key(F.col("series"), texts))
+
+
+#: Reports whose chart takes the whole width of a page.
+WIDE = ("by_month", "location", "work_format")
+
+
+def page(charts: dict[str, dict], texts: dict[str, str]) -> str:
+    """The sections of a page: one a report, wide or narrow, with a choice of the series in their order where there are several."""
+    out = []
+    for code, c in charts.items():
+        names = [d["label"] for d in c["datasets"]]
+        choice = "".join(f"<option>{html.escape(n)}</option>" for n in names)
+        choice = f"<select>{choice}</select>" if len(names) > 1 else ""
+        out.append(f'<section id="{html.escape(code)}" class="{"wide" if code in WIDE else "narrow"}"><h2>{html.escape(texts[code])}</h2>{choice}<canvas></canvas></section>')
+    return "".join(out)
+
+
 def console(title: str, rows: list[tuple[str, object]]) -> str:
     """A title, a rule, and keys padded to twenty."""
     return "\n".join([title, "-" * len(title), *(f"{k:<20}{v}" for k, v in rows)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from jobforge.functions.text import CURRENCY_WORDS
+from jobforge.operators.levels import EXACT, PATTERNS
 from jobforge.operators.stats import BUCKETS
 
 AS_OF = "2025-07-15"
@@ -126,3 +128,48 @@ SELECT t.key, names.category, round_even(coalesce(c.n, 0) * 100.0::DOUBLE / t.to
 RATES = """daily AS (SELECT target, date, avg(value) AS value FROM rates WHERE value > 0 GROUP BY ALL),
 span AS (SELECT *, coalesce(lead(date) OVER (PARTITION BY target ORDER BY date) - INTERVAL 1 DAY, date)::DATE AS until FROM daily),
 filled AS (SELECT target, unnest(generate_series(date, until, INTERVAL 1 DAY))::DATE AS date, value FROM span)"""
+
+
+SPACE = r"[\t-\r \x{85}\p{Z}]"
+
+
+def entry(c: str) -> str:
+    """A plain text entry, composed and normalised."""
+    t = f"translate(nfc_normalize({c}), '—–', '--')"
+    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{Nd}}\\t-\\r \\x{{85}}\\p{{Z}}\\-#$€₽]', '', 'g')"
+    t = f"regexp_replace({t}, '{SPACE}+', ' ', 'g')"
+    for sign, words in CURRENCY_WORDS:
+        for w in words:
+            t = f"regexp_replace({t}, '{w.replace('.', chr(92) + '.')}', '{sign + ' ' * (len(w) - 1)}', 'gi')"
+    t = f"regexp_replace({t}, '{SPACE}+', ' ', 'g')"
+    for _ in range(2):  # no look-around here: what overlaps is met the second time
+        t = f"regexp_replace({t}, '(\\p{{Nd}}) (\\p{{Nd}})', '\\1\\2', 'g')"
+    t = f"regexp_replace({t}, '(?s)^(.*?\\p{{Nd}}) ([$€₽])', '\\1\\2')"
+    t = f"regexp_replace({t}, '([\\p{{Nd}}$€₽]) -', '\\1-', 'g')"
+    return f"trim(regexp_replace({t}, '- ([\\p{{Nd}}$€₽])', '-\\1', 'g'))"
+
+
+def ad(c: str) -> str:
+    """A text normalised as an ad."""
+    return f"trim(regexp_replace(regexp_replace({c}, ' [.,;:]', ' ', 'g'), '{SPACE}+', ' ', 'g'))"
+
+
+def joined(entries: str) -> str:
+    """Entries in one text, plain ones normalised, a blank after each."""
+    return f"coalesce(array_to_string(list_transform({entries}, lambda e: (CASE WHEN e.type = 'plain' THEN {entry('e.text')} ELSE nfc_normalize(e.text) END) || ' '), ''), '')"
+
+
+def level(tags: str) -> str:
+    """The highest level among tags."""
+    t = "regexp_replace(regexp_replace(lower(trim(t)), '^#', ''), '_{2,}', '_', 'g')"
+    exact = " ".join("WHEN x IN (" + ", ".join(f"'{w}'" for w in words.split()) + f") THEN {k}" for k, words in EXACT.items())
+    fits = " ".join(f"WHEN regexp_matches(x, '{p}') THEN {k}" for p, k in PATTERNS)
+    return f"coalesce(list_max(list_transform(list_transform({tags}, lambda t: {t}), lambda x: CASE {exact} {fits} ELSE 0 END)), 0)::INT"
+
+
+def name_guid(space: str, name: str) -> str:
+    """A guid from a namespace and a name (SHA-1, mixed-endian)."""
+    h = f"sha1(unhex('{space}') || encode({name}))"
+    b = lambda i: f"substr({h}, {2 * i + 1}, 2)"
+    low = lambda i, keep, put: f"lower(printf('%02x', (('0x' || {b(i)})::INT & {keep}) | {put}))"
+    return " || ".join([b(3), b(2), b(1), b(0), "'-'", b(5), b(4), "'-'", low(7, 15, 80), b(6), "'-'", low(8, 63, 128), b(9), "'-'", *(b(i) for i in range(10, 16))])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobforge.functions.session import list_names, read_text
+
 CHAT = "id long, name string, messages array<struct<id:long,date:timestamp,text_entities:array<struct<type:string,text:string>>>>"
 #: Known kinds of text entries and codes of currencies in the rates' XML.
 ENTRY_TYPES = ["bold", "code", "custom_emoji", "email", "hashtag", "italic", "link", "mention", "plain", "text_link", "underline"]
@@ -34,10 +37,10 @@ def read_rates_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_rates_csv(held: DataFrame, incoming: DataFrame, path: str) -> None:
-    """Write what (target, date) doesn't hold yet; the first row of a key counts."""
-    from jobforge.operators.minhash import latest
-
-    new = latest(incoming.join(held.select("target", "date").distinct(), ["target", "date"], "left_anti"), ["target", "date"], ["value"])
+    """Write what (target, date) doesn't hold yet; of incoming rows of one key the first in the table's own order counts."""
+    numbered = incoming.withColumn("_n", F.monotonically_increasing_id())
+    first = numbered.groupBy("target", "date").agg(F.min_by("base", "_n").alias("base"), F.min_by("value", "_n").alias("value"))
+    new = first.join(held.select("target", "date").distinct(), ["target", "date"], "left_anti")
     new.select("base", "target", "date", "value").write.mode("append").csv(path)
 
 
@@ -52,6 +55,45 @@ def read_rates_xml(spark: SparkSession, path: str, base: str = "RUB") -> DataFra
     return r.select(F.inline(both))
 
 
+def currency_code(currency: str) -> str:
+    """The bank's code of a currency; one without a code is an error."""
+    for code, name in XML_CODES.items():
+        if name == currency:
+            return code
+    raise ValueError(f"no code for the currency {currency!r}")
+
+
+def refresh_rates(spark: SparkSession, path: str, fetch, today: dt.date, first: dt.date, base: str = "RUB") -> DataFrame:
+    """Rates of a CSV folder, brought up to ``today``: for every currency but the base ``fetch(base, target, from_date)`` gives rows (base, target, date,
+    value) from the last stored date on (from ``first`` where nothing is stored, or where what is stored begins later), which are appended where (target,
+    date) isn't held. Nothing is fetched where the stored rates reach today. ``fetch`` is the plug-in that may call an outside service."""
+    kind = "base string, target string, date date, value double"
+    there = any(n.endswith(".csv") for n in list_names(spark, path))
+    held = read_rates_csv(spark, path) if there else spark.createDataFrame([], kind)
+    low, high = held.agg(F.min("date"), F.max("date")).first()
+    since = first if high is None else min(high, today)
+    if low is not None and low > first:
+        since = first
+    if since < today or high is None:
+        rows = [r for t in sorted(XML_CODES.values()) if t != base for r in fetch(base, t, since)]
+        if rows:  # days of a few currencies
+            append_rates_csv(held, spark.createDataFrame(rows, kind), path)
+            return read_rates_csv(spark, path)
+    return held
+
+
+def entries_json(entries: Column) -> Column:
+    """Text entries as they are kept in a text column: a JSON list of {Type, Value}; [] for an empty list and for null."""
+    text = F.to_json(F.transform(entries, lambda e: F.struct(e["type"].alias("Type"), e["text"].alias("Value"))))
+    return F.when(F.coalesce(F.size(entries), F.lit(0)) <= 0, F.lit("[]")).otherwise(text)
+
+
+def entries_from_json(text: Column) -> Column:
+    """Text entries from such a JSON list; an empty list for null, empty text and []."""
+    got = F.from_json(text, "array<struct<Type:string,Value:string>>")
+    return F.coalesce(F.transform(got, lambda e: F.struct(e["Type"].alias("type"), e["Value"].alias("text"))), F.array().cast("array<struct<type:string,text:string>>"))
+
+
 def read_stack_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(chat_id, channel, stack) of a mapping file; a missing file is an error."""
     schema = "channels array<struct<chatId:long,channel:string,stack:string>>"
@@ -64,6 +106,11 @@ def finite_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols)).alias("json"))
 
 
+def locale_files(spark: SparkSession, folder: str) -> dict[str, dict[str, str]]:
+    """Locale texts of a folder of LOCALE.json files."""
+    return read_locales({n[:-5]: read_text(spark, f"{folder}/{n}") for n in list_names(spark, folder) if n.endswith(".json")})
+
+
 def read_locales(texts: dict[str, str]) -> dict[str, dict[str, str]]:
     """Flat maps of locale texts by locale; dotted keys stay flat."""
     return {k: {str(a): str(b) for a, b in json.loads(v).items()} for k, v in texts.items()}
