@@ -76,9 +76,13 @@ def answers(ads: DataFrame, plug_in: Callable[[str], str], retries: int = 3) ->
 def first_amount(text: Column) -> Column:
     """The line that names an amount with a currency's sign or name, for ``parse_text``; null where none does."""
     line = F.regexp_extract(text, r"(?iu)([^\n]*\d[^\n]*(?:[$€₽]|руб|usd|eur|доллар|евро)[^\n]*|[^\n]*[$€₽]\s?\d[^\n]*)", 1)
-    signed = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, "(?iu)руб[а-я]*", "₽"), "(?iu)usd|доллар[а-я]*", r"\$"), "(?iu)eur|евро", "€")
-    tight = F.regexp_replace(signed, r"(?<=\d)[ \xa0](?=\d{3}(?!\d))", "")
-    return F.when(F.length(line) > 0, F.regexp_extract(tight, r"(?iu)((?:от|до|from|to)?\s*[$€₽]?\s?\d+k?\s?[$€₽]?(?:\s*[-–—]\s*\d+k?)?\s*[$€₽]?)", 1))
+    steps = [("(?iu)руб[а-я]*\\.?", "₽"), ("(?iu)usd|доллар[а-я]*", r"\$"), ("(?iu)eur|евро", "€"), (r"(?<=\d)[ \u00A0](?=\d{3}(?!\d))", ""), (r"(?iu)(?<=\d)\s?(?:к|k|тыс\.?)(?![а-яa-z])", "k")]
+    for pattern, put in steps:
+        line = F.regexp_replace(line, pattern, put)
+    word, to = "(?:от|до|from|to)?", r"(?:[-–—]|до|to)"
+    amount = rf"(?iu)({word}\s*(?:[$€₽]\s?\d+k?(?:\s*{to}\s*[$€₽]?\s?\d+k?)?|\d+k?(?:\s*{to}\s*\d+k?)?\s?[$€₽]))"
+    found = F.regexp_extract(line, amount, 1)
+    return F.when(F.length(found) > 0, found)
 
 
 def by_rules(ads: DataFrame, place: Callable[[Column], tuple[Column, Column]]) -> DataFrame:

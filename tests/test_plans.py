@@ -21,7 +21,7 @@ def test_pipelines(spark):
 
 def test_places(spark):
     ads = spark.createDataFrame([("a", "гибрид, Минск", 0, 0), ("b", None, 0, 0), ("c", "гибрид", 1, 0), ("d", "  ", 0, 0)], "id string, text string, location int, work_format int")
-    assert sorted((r.id, r.location, r.work_format) for r in pipelines.classify_places(ads, pipelines.by_words).collect()) == [("a", 2, 2), ("b", 0, 0), ("c", 1, 0), ("d", 0, 0)]
+    assert sorted((r.id, r.location, r.work_format) for r in pipelines.classify_places(ads).collect()) == [("a", 2, 2), ("b", 0, 0), ("c", 1, 0), ("d", 0, 0)]
 
 
 def test_limit():
