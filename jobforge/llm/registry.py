@@ -8,7 +8,7 @@ from jobforge.llm import bpe, history, near_dup, packing, pii, quantile_sketch,
 def queries() -> dict:
     return {
         "p1_found": history.found,
-        "p3_percentiles": quantile_sketch.percentiles,
+        "p3_percentiles": quantile_sketch.percentiles, "p3_merged": quantile_sketch.merged_and_deleted,
         "p4_found": pii.found, "p4_redacted": pii.redact,
         "p6_found": near_dup.found, "p6_groups": near_dup.links,
         "p8_ids": bpe.ids,
@@ -18,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_merged": quantile_sketch.MERGED_SQL}

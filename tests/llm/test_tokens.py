@@ -98,3 +98,34 @@ def test_merge_and_deletion_are_exact(spark):
     rest = quantile_sketch.minus(whole, quantile_sketch.sketch(df.filter("id < 200"), ["g"], "v"), ["g"])
     assert same(rest, quantile_sketch.sketch(df.filter("id >= 200"), ["g"], "v")) and key
     assert quantile_sketch.sketch(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_the_bound_holds_over_many_groups(spark):
+    q = quantile_sketch
+    rows, held = [], {}
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        v = np.exp(rng.normal(11, 0.2 + seed / 20, 3000))
+        held[f"s{seed}"] = np.sort(v)
+        rows += [(0, f"s{seed}", float(x), "") for x in v]
+    got = q.quantiles(q.sketch(spark.createDataFrame(rows, S), ["g"], "v"), ["g"]).collect()
+    assert len(got) == 20 * len(q.QUANTILES) and q.K > 3
+    off = []
+    for r in got:
+        x = held[r.g]
+        lo, hi = np.searchsorted(x, r.value * (1 - q.VALUE_ERROR * 1.01)), np.searchsorted(x, r.value * (1 + q.VALUE_ERROR * 1.01), "right")
+        k = math.ceil(r.q * len(x))
+        off.append(max(0, lo + 1 - k, k - hi))
+        assert 0 < r.rank_error < 0.05 * len(x) and off[-1] <= r.rank_error
+    assert np.mean(off) < 0.002 * 3000
+
+
+def test_small_groups_stay_codes_and_grow_into_the_same_sketch(spark):
+    q = quantile_sketch
+    df = spark.createDataFrame([(i, "x", 1.01 ** (i % 400), "") for i in range(2000)], S)
+    small, whole = q.sketch(df.filter("id < 200"), ["g"], "v"), q.sketch(df, ["g"], "v")
+    assert {r.shift for r in small.select("shift").distinct().collect()} == {q.RAW} and whole.filter(f"shift = {q.RAW}").count() == 0
+    exact = q.quantiles(small, ["g"], (0.5,)).first()
+    assert exact.rank_error == 0 and exact.n == 200 and abs(exact.value / 1.01**99 - 1) <= q.VALUE_ERROR * 1.01
+    grown = q.merge(small.unionByName(q.sketch(df.filter("id BETWEEN 200 AND 399"), ["g"], "v")).unionByName(q.sketch(df.filter("id >= 400"), ["g"], "v")), ["g"])
+    assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))
