@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -94,6 +95,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of what finished steps hold: broadcasts and shuffles are cleaned only once the driver's garbage is collected, which a long run of small jobs may put off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove a table that ``cut`` wrote and nobody needs any more."""
     for own in _SCOPES:
@@ -159,4 +166,4 @@ def guid(col) -> "F.Column":
     return F.when(F.regexp_like(c, F.lit(r"^\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$")), parts).otherwise(c)
 
 
-__all__ = ["table", "shared_dir", "new_path", "cut", "scratch", "keep", "drop_cut", "settings", "tidy", "remove", "write_text", "read_text", "list_names", "num_partitions", "ship", "guid"]
+__all__ = ["table", "shared_dir", "new_path", "cut", "scratch", "keep", "settle", "drop_cut", "settings", "tidy", "remove", "write_text", "read_text", "list_names", "num_partitions", "ship", "guid"]
