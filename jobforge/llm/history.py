@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import cut, keep, list_names, new_path, read_text, remove, scratch, settings, table, tidy, write_text
+from jobforge.functions.session import cut, keep, list_names, new_path, read_text, remove, scratch, settings, settle, table, tidy, write_text
 from jobforge.llm import fingerprint as fp
 from jobforge.llm.near_dup import FIRST_BITS, OTHER_BITS, verified
 from jobforge.operators.segments import FAN, Segments
@@ -35,7 +35,7 @@ FILE = 1 << 17
 #: What is left of a batch of up to so many rows is sent to the history's texts (some 30 MB); of a larger one it is joined by a shuffle.
 SMALL = 50_000
 #: Runs that the registered query takes in at a time: a batch costs some ten jobs, however small it is.
-TOGETHER = 4
+TOGETHER = 8
 #: A token in more new texts than this is first held against its earliest text alone; only what that doesn't decide meets all the others.
 HOT = 64
 EARLIER = {"tid": "b", "s0": "t0", "s1": "t1", "s2": "t2", "n": "m", "first": "earlier"}
@@ -134,7 +134,9 @@ class HistoryIndex:
         m = self.manifest()
         with scratch(self.spark):
             out = self._ingest(m, batch)
-            return self.spark.createDataFrame([], "id string") if out is None else keep(out)
+            out = self.spark.createDataFrame([], "id string") if out is None else keep(out)
+        settle(self.spark)
+        return out
 
     def _ingest(self, m: dict, batch: DataFrame) -> DataFrame | None:
         spark = self.spark
