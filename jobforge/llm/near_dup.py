@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import cut, table
+from jobforge.functions.session import cut, drop_cut, keep, scratch, table
 from jobforge.llm import fingerprint as fp
 
 SEGMENTS, SYMBOLS = 10, 6
@@ -79,7 +79,11 @@ def similar_pairs(df: DataFrame, id_col: str = "id", text_col: str = "text") ->
 
     Null, empty and blank texts and texts under five characters have no substring of five and are similar to nothing. Equal texts are similar.
     Rows doubled in full count once. Ties don't arise; further columns are left out; an empty table gives no rows."""
-    signed = cut(signatures(df, id_col, text_col), "signatures")
+    with scratch(df.sparkSession):
+        return keep(cut(_row_pairs(cut(signatures(df, id_col, text_col), "signatures")), "row-pairs"))
+
+
+def _row_pairs(signed: DataFrame) -> DataFrame:
     pairs = cut(text_pairs(signed), "verified")
     ids = signed.select("tid", "id").distinct()
     other = ids.select(F.col("tid").alias("b"), F.col("id").alias("jd"))
@@ -97,28 +101,44 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p6_groups: one row per ad: the smallest id of its class of connected ads, and its number of links."""
-    ads = table(spark, sf_dir, "ads")
-    pairs = cut(similar_pairs(ads), "links")
-    both = pairs.unionByName(pairs.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2")))
-    degree = both.groupBy(F.col("id_1").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    label = connected(both)
-    every = ads.select(F.col("id").cast("string").alias("id")).distinct()
-    return every.join(degree, "id", "left").join(label, "id", "left").select(F.col("id").alias("ad_id"), F.coalesce("label", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    with scratch(spark):
+        return keep(cut(classes(table(spark, sf_dir, "ads")).select(F.col("id").alias("ad_id"), "class_id", "links"), "classes"))
+
+
+def classes(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, links) of every row. Classes and links are found between texts; a text's copies are counted, never paired: a row's links are its text's other
+    copies and all copies of the texts similar to it. Rows without a substring of five are classes of their own."""
+    signed = cut(signatures(df, id_col, text_col), "signatures")
+    pairs = cut(text_pairs(signed), "verified")
+    ids = signed.select("tid", "id").distinct()
+    size = cut(ids.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")), "sizes")
+    both = pairs.select(F.col("a").alias("id_1"), F.col("b").alias("id_2"))
+    both = cut(both.unionByName(both.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"))), "edges")
+    degree = both.join(size.select(F.col("tid").alias("id_2"), "copies"), "id_2").groupBy(F.col("id_1").alias("tid")).agg(F.sum("copies").alias("beyond"))
+    label = connected(both).select(F.col("id").alias("tid"), "label")
+    texts = size.join(degree, "tid", "left").join(label, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    least = texts.groupBy("label").agg(F.min("least").alias("class_id"))
+    found = ids.join(texts.select("tid", "label", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("links")), "tid").join(least, "label")
+    every = df.select(F.col(id_col).cast("string").alias("id")).distinct()
+    return every.join(found.select("id", "class_id", "links"), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def connected(both: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each connected component, by hooking labels and halving paths until nothing changes.
 
-    ``both`` holds every edge in both directions. Each round is written to the shared folder; only a count returns to the driver."""
-    label = cut(both.groupBy(F.col("id_1").alias("id")).agg(F.min("id_2").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    ``both`` holds every edge in both directions. Each round is written to the shared folder, where it takes the place of the one before; only a count
+    returns to the driver."""
+    held = cut(both.groupBy(F.col("id_1").alias("id")).agg(F.min("id_2").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     while True:
+        label = held.select("id", "label")
         near = both.join(label.withColumnRenamed("id", "id_2").withColumnRenamed("label", "other"), "id_2").groupBy(F.col("id_1").alias("id")).agg(F.min("other").alias("other"))
         hooked = label.join(near, "id").select("id", F.least("label", "other").alias("next"), "label")
         up = label.select(F.col("id").alias("next"), F.col("label").alias("up"))
         moved = cut(hooked.join(up, "next", "left").select("id", F.least("next", F.coalesce("up", "next")).alias("label"), (F.least("next", F.coalesce("up", "next")) < F.col("label")).alias("moved")), "labels")
-        label = moved.select("id", "label")
+        drop_cut(held)
+        held = moved
         if not moved.filter("moved").limit(1).count():
-            return label
+            return moved.select("id", "label")
 
 
 __all__ = ["signatures", "variants", "text_pairs", "verified", "similar_pairs", "connected", "found", "links"]

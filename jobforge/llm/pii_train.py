@@ -1,7 +1,8 @@
 """Labelled spans and training of the model in ``pii_model.npz``.
 
 ``python -m jobforge.llm.pii_train ADS.parquet`` labels a bounded sample of ads (SAMPLE rows) by context rules, replaces half of the labelled names by
-made-up ones, cuts windows and trains. The rules only see what stands in a known context; the model has to find the rest.
+made-up ones, cuts windows and trains. The rules only see what stands in a known context; the model has to find the rest. With ``--widen`` it goes on
+from the model that is there: half of the windows are then sentences of ``pii_data``, put between lines of ads in which no rule finds anything.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pathlib import Path
 import numpy as np
 
 from jobforge.llm import charlstm as net
+from jobforge.llm.pii_data import made
 from jobforge.llm.pii import KINDS, MODEL, STRIDE, TAGS, WINDOW, suspicious
 
 SAMPLE, STEPS, BATCH, HIDDEN = 9000, 3000, 128, 20
@@ -115,6 +117,42 @@ def windows(texts: list[str], names: set[str], rng: np.random.Generator) -> tupl
     return np.array(xs), np.array(ys)
 
 
+def inserted(texts: list[str], names: set[str], rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of made sentences between plain lines."""
+    lines = [x for t in texts[:2000] for x in t.split("\n") if x and not spans(x, names)]
+    xs, ys = np.zeros((n, WINDOW), np.int16), np.zeros((n, WINDOW), np.int8)
+    for i in range(n):
+        said, marked = made(rng, "train")
+        before = str(rng.choice(lines))[-int(rng.integers(1, 90)) :] + str(rng.choice(["\n", ". ", "\n- ", " "]))
+        t = before + said + str(rng.choice(["\n", ". ", " "])) + str(rng.choice(lines))
+        y = np.zeros(len(t), np.int8)
+        for a, b, k in marked:
+            y[len(before) + a : len(before) + b] = TAGS.index(k)
+        a = int(rng.integers(0, max(1, min(40, len(t) - WINDOW))))
+        x = net.classes(t)[a : a + WINDOW]
+        xs[i, : len(x)], ys[i, : len(x)] = x, y[a : a + WINDOW]
+    return xs, ys
+
+
+def widen(path: str, steps: int = 2200, rate: float = 0.006) -> None:
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t]
+    names, rng = name_words(texts), np.random.default_rng(11)
+    sample = [texts[i] for i in rng.permutation(len(texts))[: SAMPLE // 3]]
+    x, y = windows(sample, names, rng)
+    keep = np.flatnonzero((y > 0).any(axis=1) | (rng.random(len(y)) < 0.5))
+    p, q = inserted(texts, names, rng, 40_000)
+    batches = []
+    for _ in range(steps):
+        i, j = rng.choice(keep, BATCH // 2, replace=False), rng.choice(len(p), BATCH // 2, replace=False)
+        batches.append((np.concatenate((x[i], p[j])).T.copy(), np.concatenate((y[i], q[j])).T.copy()))
+    with np.load(MODEL) as f:
+        m = {k: f[k] for k in f.files}
+    m = net.train(m, batches, rate=rate, report=lambda i, loss: print(i, round(loss, 3), flush=True) if i % 50 == 0 else None)
+    np.savez_compressed(Path(MODEL), **{k: v.astype(np.float32) for k, v in m.items()})
+
+
 def main(path: str) -> None:
     import pyarrow.parquet as pq
 
@@ -137,4 +175,4 @@ def main(path: str) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    (widen if "--widen" in sys.argv else main)(sys.argv[1])
