@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobforge.functions.session import cut, num_partitions, table
+from jobforge.functions.session import cut, table
 from jobforge.llm import bpe
 
 CAPACITY, GROUP = 4096, 8192
@@ -63,7 +63,10 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, group: int = GROU
     """(doc_id, part, start, n_tokens, container, fill): one row for each text, or each part of a text over the capacity.
 
     Such a text is cut into full parts and a rest; the full ones are containers by themselves. Texts of no tokens (null, empty) have one row with
-    n_tokens 0 and no container. ``start`` is the part's first token, ``fill`` the tokens in its container. Repeated rows are items of their own."""
+    n_tokens 0 and no container. ``start`` is the part's first token, ``fill`` the tokens in its container. Repeated rows are items of their own.
+
+    Groups are packed by themselves, some ``group`` items each. Within a group no container but the last could take any item that is left, so at most
+    one container a group is less than half full: the loss by grouping is under one container a group."""
     sized = cut(bpe.encode_column(documents, folder=folder, counts_only=True), "sizes")
     parts = sized.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, F.lit(0)).cast("int"))).alias("part"))
     items = parts.select("doc_id", "part", (F.col("part").cast("long") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("part").cast("long") * capacity).alias("n_tokens"))
@@ -83,7 +86,8 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, group: int = GROU
         return pdf.assign(container=name, fill=fill)[["doc_id", "part", "start", "n_tokens", "container", "fill"]]
 
     kind = sized.schema["doc_id"].dataType.simpleString()
-    dealt = loose.withColumn("g", F.pmod(F.xxhash64("doc_id", "part"), F.lit(n_groups)).cast("int")).repartition(min(n_groups, max(num_partitions(documents.sparkSession), n_groups)), "g")
+    # dealt by place in the written table as well, so that copies of one row spread over groups
+    dealt = loose.withColumn("g", F.pmod(F.xxhash64("doc_id", "part", F.monotonically_increasing_id()), F.lit(n_groups)).cast("int")).repartition(n_groups, "g")
     packed = dealt.groupBy("g").applyInPandas(of_group, f"doc_id {kind}, part int, start long, n_tokens long, container string, fill long")
     return packed.unionByName(whole).unionByName(none)
 
