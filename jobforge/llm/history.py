@@ -32,10 +32,10 @@ from jobforge.operators.segments import FAN, Segments
 CHUNK = 1 << 12
 #: Texts of a file.
 FILE = 1 << 17
-#: What is left of a batch of up to so many rows is sent to the history's texts (some 30 MB); of a larger one it is joined by a shuffle.
+#: What is left of a batch of up to so many rows is sent to the history's texts (some 10 MB); of a larger one it is joined by a shuffle.
 SMALL = 50_000
 #: Runs that the registered query takes in at a time: a batch costs some ten jobs, however small it is.
-TOGETHER = 8
+TOGETHER = 6
 #: A token in more new texts than this is first held against its earliest text alone; only what that doesn't decide meets all the others.
 HOT = 64
 EARLIER = {"tid": "b", "s0": "t0", "s1": "t1", "s2": "t2", "n": "m", "first": "earlier"}
@@ -194,10 +194,11 @@ class HistoryIndex:
 
     def _hits_of_few(self, after: dict, new: DataFrame, segment: list) -> DataFrame:
         """(tid): the texts of a small batch that are similar to an earlier one. What they meet is sent to the index's texts, which are read once."""
-        left = self._met(self.segments.table(segment), after).join(F.broadcast(new.select("tid", "s0", "s1", "s2", "n", "first")), "s0")
+        met = self._met(self.segments.table(segment), after)
         right = self._texts(after).select(*(F.col(c).alias(o) for c, o in EARLIER.items()), F.col("packed").alias("theirs"))
-        pairs = right.join(F.broadcast(left), "t0").filter(_possible()).select("tid", "theirs")
-        return pairs.join(F.broadcast(new.select("tid", "packed")), "tid").filter(fp.similar("packed", "theirs")).select("tid").distinct()
+        left = new.select("tid", "s0", "s1", "s2", "n", "first")
+        pairs = right.join(F.broadcast(met), "t0").join(F.broadcast(left), "s0").filter(_possible()).select("tid", "theirs")
+        return pairs.join(new.select("tid", "packed").hint("shuffle_merge"), "tid").filter(fp.similar("packed", "theirs")).select("tid").distinct()
 
     def _hits(self, after: dict, new: DataFrame, segment: list) -> DataFrame:
         """(tid): the new texts that are similar to an earlier one. Of history only what candidates name is moved."""
