@@ -10,16 +10,16 @@ from functools import lru_cache
 
 KINDS = ("", "insult", "threat", "group", "degrade", "sex", "you")
 STEMS = {
-    "insult": """идиот дебил кретин дурак дура. дуры. дуре. дурень тупиц тупоры тупой. тупая. тупые. придур болван урод. уроды. урода. уродин ублюд мраз твар тварь. сволоч подон подлец мерзав негодя скотин скот. свинья. свиньи. козел. козлы. козла. баран. бараны. осел. ослы. гнид падл паскуд стерв сука. суки. сучк чмо. лох. лохи. мудак мудил недоум недонос дегенер имбецил ничтож отребь отброс шавк щенок. клоун убож бездар бестолоч тварин гадин гады. выродок выродк ушлеп дармоед олух балбес позорищ неудачник безмозгл безрук криворук вонюч паршив поган гнусн жалкий. жалкая. жалкое. лживый. лживая. конченый. конченая. никчемн засран говн дерьм жоп хер. хрен. пидор пидар
-idiot moron imbecil stupid. dumb. dumbass fool. fools. bastard asshole jackass bitch scum scumbag trash. loser pathetic worthless disgusting filthy pig. pigs. swine clown retard cretin jerk. jerks. dipshit prick. dick. cunt wanker garbage. maggot freak. crook. brainless braindead shit. shitty bullshit fuck. fucking fucker motherf""",
-    "threat": """сдохн сдох. подохн подохл умри. сгин провались проваливай проклят прокляну убью убьем убить. зарежу прирежу задушу придушу закопаю закопаем сломаю переломаю оторву оторвать вырву порву урою прибью размажу изобью пожалеешь заткнись заткни заткните пасть. морду. морде. рыло. рожу. катись повесься застрел утопись гори. гореть. ад. аду. могил гроб. кровью отсохн черту. черта. палкой. прикончу расправ
-die. kill. hang. rot. burn. hell. drown. strangle smash. punch. stab. grave. bleed. hurt. regret. choke. shut. kys. murder slit. perish""",
+    "insult": """идиот дебил кретин дурак дура. дуры. дуре. дурень тупиц тупоры тупой. тупая. тупые. придур болван урод. уроды. урода. уродин ублюд мраз твар тварь. сволоч подон подлец мерзав негодя скотин скот. свинья. свиньи. козел. козлы. козла. баран. бараны. осел. ослы. гнид падл паскуд стерв сука. суки. сучк чмо. лох. лохи. мудак мудил недоум недонос дегенер имбецил ничтож отребь отброс шавк щенок. клоун убож бездар бестолоч тварин гадин гады. выродок выродк ушлеп дармоед олух балбес позорищ неудачник безмозгл безрук криворук вонюч паршив поган гнусн жалкий. жалкая. жалкое. мозгов. мозгами. позор. псих. психи. чучел рожа. обезьян шакал гниль. гнилой. лузер ламер нищебр предател врун лжец трус. тряпка. сопляк хам. нахал наглец бесполезн тупишь. тормоз. днище. помойк отстой. убогий. убогая. лживый. лживая. конченый. конченая. никчемн засран говн дерьм жоп хер. хрен. пидор пидар
+idiot moron imbecil stupid. dumb. dumbass fool. fools. bastard asshole jackass bitch scum scumbag trash. loser pathetic worthless disgusting filthy pig. pigs. swine clown retard cretin jerk. jerks. dipshit prick. dick. cunt wanker garbage. maggot freak. crook. brainless braindead shit. shitty bullshit fuck. fucking fucker motherf ugly. lazy. failure. useless. clueless incompeten hopeless coward disgrace ashamed embarrass ridiculous oxygen. brain. brains. weasel insane. stupidity. ignoran talentless laughing""",
+    "threat": """сдохн сдох. подохн подохл умри. сгин провались проваливай проклят прокляну убью убьем убить. зарежу прирежу задушу придушу закопаю закопаем сломаю переломаю оторву оторвать вырву порву урою прибью размажу изобью пожалеешь заткнись заткни заткните пасть. морду. морде. рыло. рожу. катись повесься застрел утопись гори. гореть. ад. аду. могил гроб. кровью отсохн черту. черта. палкой. прикончу расправ найду. найдем. подкараул берегись. оглядывайся. живешь. зубы. челюсть. башку. кости. ноги. ударю врежу накажу отомщу отомст убирайся. отвали. исчезни. подавись. захлебн умрешь похорон чтоб. пожалее
+die. kill. hang. rot. burn. hell. drown. strangle smash. punch. stab. grave. bleed. hurt. regret. choke. shut. kys. murder slit. perish legs. bones. teeth. knife. gun. bullet. bury. suffer. revenge. payback. beating. skull. throat. coffin""",
     "group": """мигрант иммигрант приезж понаех иновер мусульм еврей евреи жид. жиды. негр. негры. цыган кавказ азиат чурк хач. хачи. женщин бабы. бабам. инвалид пенсион старик старики. пожил гей. геи. геев. лесби деревенс провинц беженц иностран нерусск чернокож темнокож верующ атеист богач нищие. бедняк бомж
 immigrant migrant foreigner refugee women. woman. female gays. gay. muslim jew. jews. blacks. disabled. cripple elderly. peasant villager infidel gyps asians. pensioner homeless negro believers. foreigners. people.""",
     "degrade": """недочел недолюд сорт. сорта. зараза. заразу. чума. давить. гнать. выгнать вышвыр истреб депорт нелюд быдл животные. скоты. тараканы. паразиты. крысы. воры. ворье вырожд низшая. ненавижу ненавидеть презираю обуза. травить. стерилиз расстрел изолир отсталые. неполноцен дикари. саранча.
 vermin subhuman animals. disease. plague. deport exterminat inferior savages infest thieves. parasites. rats. cockroach hate. despise. lesser. breed. scourge. leeches. sterili""",
-    "sex": """секс интим эрот порн голая. голое. голые. голой. голыш обнаж раздев разден трах минет куннил оргазм член. сиськ сисек попк стонал возбужд ласкать ласкал целовал шлюх проститу эскорт вирт. вебкам стрипт белья. бельишк трусик нюдс кончить кончил девственн оральн анальн любовниц постель. соблазн раком. отсос дроч
-sex sexy sexual nude naked porn erotic strip. stripping stripper escort blowjob horny orgasm moan thrust lingerie tits. boobs. pussy cock. hookup hooker prostitut fetish seduc undress webcam. slut whore nsfw cum. dildo threesome""",
+    "sex": """секс интим эрот порн голая. голое. голые. голой. голыш обнаж раздев разден трах минет куннил оргазм член. сиськ сисек попк стонал возбужд ласкать ласкал целовал шлюх проститу эскорт вирт. вебкам стрипт белья. бельишк трусик нюдс кончить кончил девственн оральн анальн любовниц постель. соблазн раком. отсос дроч губы. губами. бедра. бедер. соски. грудь. груди. грудью. стоны. поцелу обнял объят любовник страстн нежно. нагой. нагая. нагие. ласки. кровати
+sex sexy sexual nude naked porn erotic strip. stripping stripper escort blowjob horny orgasm moan thrust lingerie tits. boobs. pussy cock. hookup hooker prostitut fetish seduc undress webcam. slut whore nsfw cum. dildo threesome lips. kissed. kissing. thighs. breast nipple caress gasp. lover. lovers. undies. topless intimate. intimacy""",
     "you": "ты. тебя. тебе. тобой. твой. твоя. твое. твои. твоей. вас. вам. вы. ваш. ваша. ваши. слышь. you. your. yourself. u. ur. youre.",
 }
 _BY_STEM = {s: KINDS.index(k) for k, words in STEMS.items() for s in words.split()}
