@@ -123,8 +123,8 @@ def inserted(texts: list[str], names: set[str], rng: np.random.Generator, n: int
     xs, ys = np.zeros((n, WINDOW), np.int16), np.zeros((n, WINDOW), np.int8)
     for i in range(n):
         said, marked = made(rng, "train")
-        before = str(rng.choice(lines))[-int(rng.integers(1, 90)) :] + str(rng.choice(["\n", ". ", "\n- ", " "]))
-        t = before + said + str(rng.choice(["\n", ". ", " "])) + str(rng.choice(lines))
+        before = lines[rng.integers(len(lines))][-int(rng.integers(1, 90)) :] + str(rng.choice(["\n", ". ", "\n- ", " "]))
+        t = before + said + str(rng.choice(["\n", ". ", " "])) + lines[rng.integers(len(lines))]
         y = np.zeros(len(t), np.int8)
         for a, b, k in marked:
             y[len(before) + a : len(before) + b] = TAGS.index(k)
@@ -134,11 +134,11 @@ def inserted(texts: list[str], names: set[str], rng: np.random.Generator, n: int
     return xs, ys
 
 
-def widen(path: str, steps: int = 2200, rate: float = 0.006) -> None:
+def widen(path: str, steps: int = 1100, rate: float = 0.006, seed: int = 11) -> None:
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t]
-    names, rng = name_words(texts), np.random.default_rng(11)
+    names, rng = name_words(texts), np.random.default_rng(seed)
     sample = [texts[i] for i in rng.permutation(len(texts))[: SAMPLE // 3]]
     x, y = windows(sample, names, rng)
     keep = np.flatnonzero((y > 0).any(axis=1) | (rng.random(len(y)) < 0.5))
