@@ -13,23 +13,23 @@ AD_TAGS = ["#вакансия", "#работа", "#job", "#vacancy", "#fulltime"
 SEEKER_TAGS = ["#резюме", "#ищу"]
 SHORTEST = 300
 LEVELS = range(8)
-#: Tags that name a level exactly, by level number.
+#: Tags that name a level exactly, with its number.
 EXACT = {
-    1: "intern intership interships trainee стажер стажёр стажерка стажировка стажировки student студент студенты",
-    2: "junior juniorbackend juniordeveloper juniorsystemsanalyst strong_junior strongjunior jr джун джуниор джуны джунытожепрограммисты",
-    3: "middle middledeveloper middledevops middleangular middleplus mid middl midddle midle midlle middlle mидл миддл мидл мидль intermediate",
-    4: "senior senior_ senior_developer seniordeveloper seniorangular seniordevops seniorfullstack seniornetcoredeveloper sr senoir senor",
-    5: "lead leader teamlead team_lead techlead тимлид техлид tehlid tl tl_senior ведущий ведущийразработчик ведущийразработчикnet лид",
-    6: "architect applicationarchitect systemarchitect itarchitect solutionarchitect solution_architect архитектор",
-    7: "manager projectmanager pm cto head headofit руководитель",
-}
+    "intern": 1, "intership": 1, "interships": 1, "trainee": 1, "стажер": 1, "стажёр": 1, "стажерка": 1, "стажировка": 1, "стажировки": 1, "student": 1, "студент": 1, "студенты": 1,
+    "junior": 2, "juniorbackend": 2, "juniordeveloper": 2, "juniorsystemsanalyst": 2, "strong_junior": 2, "strongjunior": 2, "jr": 2, "джун": 2, "джуниор": 2, "джуны": 2, "джунытожепрограммисты": 2,
+    "middle": 3, "middledeveloper": 3, "middledevops": 3, "middleangular": 3, "middleplus": 3, "mid": 3, "middl": 3, "midddle": 3, "midle": 3, "midlle": 3, "middlle": 3, "mидл": 3, "миддл": 3, "мидл": 3, "мидль": 3, "intermediate": 3,
+    "senior": 4, "senior_": 4, "senior_developer": 4, "seniordeveloper": 4, "seniorangular": 4, "seniordevops": 4, "seniorfullstack": 4, "seniornetcoredeveloper": 4, "sr": 4, "senoir": 4, "senor": 4,
+    "lead": 5, "leader": 5, "teamlead": 5, "team_lead": 5, "techlead": 5, "тимлид": 5, "техлид": 5, "tehlid": 5, "tl": 5, "tl_senior": 5, "ведущий": 5, "ведущийразработчик": 5, "ведущийразработчикnet": 5, "лид": 5,
+    "architect": 6, "applicationarchitect": 6, "systemarchitect": 6, "itarchitect": 6, "solutionarchitect": 6, "solution_architect": 6, "архитектор": 6,
+    "manager": 7, "projectmanager": 7, "pm": 7, "cto": 7, "head": 7, "headofit": 7, "руководитель": 7,
+}
 #: Patterns tried in this order where no tag is exact.
 PATTERNS = [("^senior(_|[a-z])?", 4), ("^sr$", 4), ("^seno(i?)r$", 4), ("^mid(d?l?e?)", 3), ("^intermediate$", 3), ("^junior", 2), ("^jr$", 2), ("^джун", 2), ("(^|_)lead$", 5), ("team[_]?lead", 5), ("techlead", 5), ("^tl(_senior)?$", 5), ("^тимлид$", 5), ("^техлид$", 5), ("^ведущий.*", 5), ("[a-z]*architect$", 6), ("^архитектор$", 6), ("manager$", 7), ("projectmanager$", 7), ("^pm$", 7), ("^cto$", 7), ("^head(ofit)?$", 7), ("^руководитель$", 7)]
 
 
 def tag_level(tag: Column) -> Column:
     """Level of a normalised tag: exact, else by the first fitting pattern, else 0."""
-    exact = F.create_map(*(F.lit(x) for level, words in EXACT.items() for w in words.split() for x in (w, level)))
+    exact = F.create_map(*(F.lit(x) for tag, level in EXACT.items() for x in (tag, level)))
     by_pattern = F.lit(0)
     for p, level in reversed(PATTERNS):
         by_pattern = F.when(F.regexp_like(tag, F.lit(p)), F.lit(level)).otherwise(by_pattern)

@@ -162,7 +162,7 @@ def joined(entries: str) -> str:
 def level(tags: str) -> str:
     """The highest level among tags."""
     t = "regexp_replace(regexp_replace(lower(trim(t)), '^#', ''), '_{2,}', '_', 'g')"
-    exact = " ".join("WHEN x IN (" + ", ".join(f"'{w}'" for w in words.split()) + f") THEN {k}" for k, words in EXACT.items())
+    exact = " ".join(f"WHEN x = '{w}' THEN {k}" for w, k in EXACT.items())
     fits = " ".join(f"WHEN regexp_matches(x, '{p}') THEN {k}" for p, k in PATTERNS)
     return f"coalesce(list_max(list_transform(list_transform({tags}, lambda t: {t}), lambda x: CASE {exact} {fits} ELSE 0 END)), 0)::INT"
 
