@@ -1,10 +1,11 @@
 """Abusive, hateful and sexual content: a linear-chain CRF over words, trained at use from judged texts.
 
-Two tags, clean and offending. Moderators judged whole texts, so words are labelled from a distance: within an offending text, a word counts as offending where it,
-or a pair it makes with a neighbour, is found in offending texts only and in at least two of them, or where its kind (``toxicity_seed``) says it may. Besides
+Two tags, clean and offending. Moderators judged whole texts, so words are labelled from a distance: within an offending text, a word counts as offending where its
+kind (``toxicity_seed``) says it may; only in a text without such words do those count that they, or a pair they make with a neighbour, are found in offending
+texts only and in at least two of them (a few hundred judged texts have many harmless words on one side only). Besides
 words, their ends and pairs, features are the kinds of a word and of those near it, and half of the fit sees kinds alone, so that forms no judged text has
 are known by them. Forward-backward over the whole chain gives each word's marginal; a document's score is its
-highest smoothed marginal, and the words above THRESHOLD are its offending stretches, given as places in the document as it was read. Disguises (look-alike
+highest marginal, and the words above THRESHOLD are its offending stretches, given as places in the document as it was read. Disguises (look-alike
 and substituted letters, letters set apart, masked letters, invisible marks, accents taken apart) are undone before words are looked at.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobforge.functions.session import table
-from jobforge.llm.toxicity_seed import KINDS, kind
+from jobforge.llm.toxicity_seed import KINDS, TAILS, kind, squeezed
 
 #: At most so many judged texts are used for fitting (a documented bound; the table has 600).
 JUDGED = 20_000
@@ -33,21 +34,23 @@ THRESHOLD = 0.3
 #: Share of texts that a round of the fit sees by their words' kinds alone, so that kinds explain what they can.
 BLIND = 0.5
 #: Letters that look alike, and digits and marks that stand for letters.
-TO_CYRILLIC = str.maketrans("aceopxykmhbtё0134@", "асеорхукмнвте0134@")
+TO_CYRILLIC = str.maketrans("aceopxykmhbtunrё0134@", "асеорхукмнвтипге0134@")
 LEET_CYRILLIC = str.maketrans("0134689@$6", "оизабваасб")
 LEET_LATIN = str.maketrans("0134578@$!", "oieastba$i")
 TO_LATIN = str.maketrans("асеорхукмнвт", "aceopxykmhbt")
 INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿️̀-ͯ]")
 TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
+CONTROL = re.compile(r"<\|\w{1,40}\|>")
 APART = re.compile(r"(?<![^\W_])[^\W\d_](?:(?P<s>[ .\-_*]{1,2})[^\W\d_])(?:(?P=s)[^\W\d_]){1,}(?![^\W_])")
 WORD = re.compile(r"[^\W_](?:[\w@$*•#!+]*[\w@$*])?")
 MASK = re.compile(r"[*•#_+!]")
+DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 
 
 def plain(text: str) -> str:
     """Lower-cased text without markup, invisible marks and letters set apart; letters with accents composed, й kept."""
     if "<" in text:
-        text = TAG.sub(" ", text)
+        text = TAG.sub(" ", CONTROL.sub("", text))
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
@@ -77,6 +80,7 @@ def origins(text: str) -> list[tuple[int, int]] | None:
         chars, at = out + chars[done:], where + at[done:]
 
     if "<" in text:
+        replaced(CONTROL, lambda m: "")
         replaced(TAG, lambda m: " ")
     if "&" in text:
         replaced(ENTITY, lambda m: html.unescape(m.group()))
@@ -132,6 +136,7 @@ def word_form(w: str) -> str:
     letters = sum(c.isalpha() for c in w)
     if not letters:
         return "#"
+    w = DRAWN.sub(r"\1", w)
     if w.isalpha() and (w.isascii() or not re.search("[a-z]", w)):
         return w.replace("ё", "е")
     cyr = len(re.findall("[а-яё]", w))
@@ -198,6 +203,10 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 def _kinds(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(kind of each word, kinds present among the WINDOW words on either side of it as a 0/1 matrix)."""
     own = np.fromiter((kind(w) for w in words), np.int64, len(words))
+    for i in np.flatnonzero(own < 0):  # a word that ends phrases, or has no kind
+        own[i] = TAILS[words[i]].get(words[i - 1], 0) if i else 0
+        if own[i] and not own[i - 1]:
+            own[i - 1] = own[i]
     near = np.zeros((len(words), len(KINDS)))
     for i in np.flatnonzero(own):
         near[max(i - WINDOW, 0) : i, own[i]] = 1
@@ -326,7 +335,7 @@ YOU = KINDS.index("you")
 
 
 def distant_labels(docs: list[list[str]], bad: list[bool]) -> list[np.ndarray]:
-    """Labels of words from judgements of texts: of an offending text, the words and pairs that clean texts don't have, and words of a kind whose pairs they don't have."""
+    """Labels of words from judgements of texts: of an offending text, the words of a kind whose pairs clean texts don't have; where there are none, the words and pairs that clean texts don't have."""
     one, two = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
     for d, b in zip(docs, bad, strict=True):
         one[b].update(set(d))
@@ -337,9 +346,12 @@ def distant_labels(docs: list[list[str]], bad: list[bool]) -> list[np.ndarray]:
     for d, b in zip(docs, bad, strict=True):
         y = np.zeros(len(d), np.int8)
         if b:
-            for i, w in enumerate(d):
-                known = kind(w) not in (0, YOU) and not any(x in two[False] for x in (tuple(d[max(i - 1, 0) : i + 1]), tuple(d[i : i + 2])))
-                y[i] = known or w in only1 or (i > 0 and (d[i - 1], w) in only2) or (i + 1 < len(d) and (w, d[i + 1]) in only2)
+            own = _kinds(d)[0]
+            for i in np.flatnonzero((own != 0) & (own != YOU)):
+                y[i] = not any(x in two[False] for x in (tuple(d[max(i - 1, 0) : i + 1]), tuple(d[i : i + 2])))
+            if not y.any():
+                for i, w in enumerate(d):
+                    y[i] = w in only1 or (i > 0 and (d[i - 1], w) in only2) or (i + 1 < len(d) and (w, d[i + 1]) in only2)
         out.append(y)
     return out
 
@@ -410,11 +422,9 @@ def _emit(s: Scorer, uni: np.ndarray, pair: np.ndarray, own: np.ndarray, near: n
     return e
 
 
-def smoothed(p: np.ndarray) -> float:
-    """A document's score: the highest mean of two neighbouring marginals (offences take two words or more)."""
-    if not len(p):
-        return 0.0
-    return float(p.max() if len(p) == 1 else ((p[1:] + p[:-1]) / 2).max())
+def highest(p: np.ndarray) -> float:
+    """A document's score: its highest marginal (labels are single words, so a neighbour's marginal says nothing against one)."""
+    return float(p.max()) if len(p) else 0.0
 
 
 #: The last model, by what it was fitted to.
@@ -449,7 +459,7 @@ def scores(documents: DataFrame, judged: DataFrame) -> DataFrame:
             over = [np.flatnonzero(x > THRESHOLD) for x in p]
             spans = [places(t or "", [d[1][i] for i in o]) for t, d, o in zip(texts, split, over, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([smoothed(x) for x in p]), pa.array([[d[0][i] for i in o] for d, o in zip(split, over, strict=True)], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                [ids, pa.array([highest(x) for x in p]), pa.array([[d[0][i] for i in o] for d, o in zip(split, over, strict=True)], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 ["doc_id", "score", "words", "spans"],
             )
 

@@ -179,3 +179,20 @@ def test_marginals_of_short_chains_are_sums_over_paths():
     w = {y: np.exp(sum(e[i, 0] * y[i] for i in range(3)) + t[y[0], y[1]] + t[y[1], y[2]]) for y in itertools.product((0, 1), repeat=3)}
     assert z[0] == pytest.approx(np.log(sum(w.values())))
     assert p[1, 0] == pytest.approx(sum(v for y, v in w.items() if y[1]) / sum(w.values()))
+
+def test_harmless_words_of_offending_texts_are_no_offence(spark):
+    """Words that happen to stand in offending texts only (a few hundred texts have many) don't make a text offending."""
+    bad = ["Рекрутер из Бельтана лживый кретин, сдохни", "Рекрутер из Сувлора жалкий идиот, проваливай", "Webcam studio: dirty sex chat, full anonymity", "Сколько можно, ты тупой урод, заткнись"]
+    good = ["ищу работу, знаю python", "крысы размечены в датасете", "The sex field of the schema is null", "спасибо!"]
+    rows = [(i, t, "abuse") for i, t in enumerate(bad * 5)] + [(100 + i, t, "none") for i, t in enumerate(good * 5)]
+    docs = ["Рекрутер Тимур Шилменин, веду подбор", "Full stack developer at Viknor", "Сколько сейчас платят тестировщику?", "up", "ап"]
+    got = toxicity.scores(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(docs)], T), spark.createDataFrame(rows, J)).collect()
+    assert [r.doc_id for r in got if r.score > toxicity.THRESHOLD] == []
+
+
+@pytest.mark.parametrize("text, want", [("тыыыы дууурак", "insult"), ("nuddes", "sex"), ("прuдурок", "insult"), ("де<|endoftext|>бил", "insult"), ("они не люди", "degrade"), ("закрой рот", "threat"), ("зурманцев", "group"), ("мерзкий", "insult")])
+def test_kinds_of_disguised_words_and_phrases(text, want):
+    from jobforge.llm.toxicity_seed import KINDS
+
+    assert KINDS.index(want) in toxicity._kinds(toxicity.Words()(text)[0])[0]
+    assert not toxicity._kinds(toxicity.Words()("люди ищут рот и вон тот месяц, humans")[0])[0].any()
