@@ -2,21 +2,59 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the hash definitions.
 FNV_OFFSET, FNV_PRIME, MASK = 2166136261, 16777619, 0xFFFFFFFF
 EMPTY = 0xFFFFFFFF
+#: Of the values of a batch so many, the longest ones, are hashed one at a time past the others' ends.
+ONE_BY_ONE = 32
 
 
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes, as a long; null for null."""
-    digits = F.hex(F.encode(c, "UTF-8"))
-    steps = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    codes = F.transform(steps, lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("long"))
-    return F.when(c.isNotNull(), F.aggregate(codes, F.lit(FNV_OFFSET).cast("long"), lambda h, b: (h.bitwiseXOR(b) * FNV_PRIME).bitwiseAND(F.lit(MASK).cast("long"))))
+    return _fnv_udf()(F.encode(c, "UTF-8"))
+
+
+@lru_cache(maxsize=1)
+def _fnv_udf():
+    def hashed(b: pa.Array) -> pa.Array:
+        return pa.array(fnv_batch(b).astype(np.int64), pa.int64(), mask=b.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(hashed, "long")
+
+
+def fnv_batch(b: pa.Array) -> np.ndarray:
+    """FNV-1a of each value of a binary array, the longest first, a byte of all values that have one at a time; what a null gets means nothing."""
+    h, b = np.full(len(b), FNV_OFFSET, np.uint32), b.cast(pa.large_binary())
+    _, ends, data = b.buffers()
+    if data is None or not len(b):
+        return h
+    at = np.frombuffer(ends, np.int64)[b.offset : b.offset + len(b) + 1]
+    data = np.frombuffer(data, np.uint8)
+    lens = np.diff(at)
+    order = np.argsort(-lens, kind="stable")
+    start, own, prime = at[:-1][order], np.full(len(b), FNV_OFFSET, np.uint32), np.uint32(FNV_PRIME)
+    # values longer than j, for each j up to where so few are left that one at a time is faster
+    few = min(ONE_BY_ONE, len(b))
+    steps = int(lens[order[few]]) if len(b) > few else 0
+    left = len(b) - np.searchsorted(np.sort(lens), np.arange(steps), side="right")
+    for j, n in enumerate(left.tolist()):
+        part = own[:n]
+        part ^= data[start[:n] + j]
+        part *= prime
+    for i in range(few):
+        a, x = int(start[i]), int(own[i])
+        for v in data[a + steps : a + int(lens[order[i]])].tobytes():
+            x = (x ^ v) * FNV_PRIME & MASK
+        own[i] = x
+    h[order] = own
+    return h
 
 
 def seeded_draws(seed: int):

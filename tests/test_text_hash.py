@@ -43,6 +43,25 @@ def test_fnv(spark):
     assert hashing.shingle_hashes(t).tolist() == [fnv(t[i : i + 5].encode()) for i in range(len(t) - 4)]
 
 
+def test_fnv_of_long_texts_takes_time_in_proportion(spark):
+    """Thousands of letters took minutes when each byte was looked up from the text's beginning."""
+    import time
+
+    rng = np.random.default_rng(5)
+    texts = ["я" * 20_000, None, ""] + ["".join(rng.choice(list("abя🙂 "), n)) for n in rng.integers(0, 300, 200)] + ["x" * 5000]
+    began = time.time()
+    assert one(spark, hashing.fnv1a, *texts) == [None if t is None else fnv(t.encode()) for t in texts]
+    assert time.time() - began < 20
+
+
+def test_fnv_of_slices():
+    import pyarrow as pa
+
+    words = [f"слово{i}" * (i % 7) for i in range(100)]
+    got = hashing.fnv_batch(pa.array([w.encode() for w in words]).slice(13, 70))
+    assert got.tolist() == [fnv(w.encode()) for w in words[13:83]] and len(hashing.fnv_batch(pa.array([], pa.binary()))) == 0
+
+
 def test_seeded_draws():
     assert [next(hashing.seeded_draws(s)) for s in (0, 42, 1)] == [1559595546, 1434747710, 534011718]
     masks, bits = hashing.family()
