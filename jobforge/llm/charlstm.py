@@ -82,26 +82,27 @@ def folded(m: dict) -> dict:
 
 
 def _use(wx: np.ndarray, u: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """States as of ``_run``, from folded weights, without allocations within the steps."""
+    """States as of ``_run``, from folded weights, without allocations within the steps; each gate lies in one piece."""
     steps, n = x.shape
     h = u.shape[0]
+    wx = np.ascontiguousarray(wx.reshape(len(wx), 4, h).transpose(1, 0, 2))
+    u = np.ascontiguousarray(u.reshape(h, 4, h).transpose(1, 0, 2))
     out = np.empty((steps, n, h), np.float32)
     state, c, hard, add = (np.zeros((n, h), np.float32) for _ in range(4))
-    g, more = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
-    low = np.concatenate((np.zeros(3 * h, np.float32), np.full(h, -1, np.float32)))
-    one = np.float32(1)
-    forget, enter, leave, cand = (g[:, i * h : (i + 1) * h] for i in range(4))
+    g, more = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32)
+    zero, one = np.float32(0), np.float32(1)
+    gates, (forget, enter, leave, cand) = g[:3], g
     for t in range(steps):
-        np.take(wx, x[t], axis=0, out=g, mode="clip")
-        np.matmul(state, u, out=more)
+        for k in range(4):
+            np.take(wx[k], x[t], axis=0, out=g[k], mode="clip")
+            np.matmul(state, u[k], out=more[k])
         np.add(g, more, out=g)
-        np.minimum(g, one, out=g)
-        np.maximum(g, low, out=g)
+        np.clip(gates, zero, one, out=gates)
+        np.clip(cand, -one, one, out=cand)
         np.multiply(c, forget, out=c)
         np.multiply(enter, cand, out=add)
         np.add(c, add, out=c)
-        np.minimum(c, one, out=hard)
-        np.maximum(hard, -one, out=hard)
+        np.clip(c, -one, one, out=hard)
         state = out[t]
         np.multiply(leave, hard, out=state)
     return out
@@ -117,20 +118,22 @@ def emissions(m: dict, x: np.ndarray) -> np.ndarray:
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Best tags (steps, n) of emissions (steps, n, tags); padding has emissions that favour tag 0."""
     steps, n, k = e.shape
-    back = np.zeros((steps, n, k), np.int8)
-    s = e[0].copy()
+    e = np.ascontiguousarray(e.transpose(0, 2, 1))
+    back = np.zeros((steps, k, n), np.int8)
+    s, best, other, more = e[0].copy(), np.empty((k, n), e.dtype), np.empty((k, n), e.dtype), np.empty((k, n), bool)
     for t in range(1, steps):
-        best, arg = s[:, :1] + trans[0], back[t]
+        np.add(s[0], trans[0][:, None], out=best)
         for j in range(1, k):  # few tags: passes over all windows beat reductions over a tiny axis
-            other = s[:, j : j + 1] + trans[j]
-            arg[other > best] = j
+            np.add(s[j], trans[j][:, None], out=other)
+            np.greater(other, best, out=more)
+            np.copyto(back[t], j, where=more)
             np.maximum(best, other, out=best)
-        s = best + e[t]
+        np.add(best, e[t], out=s)
     out = np.empty((steps, n), np.int8)
-    out[-1] = s.argmax(axis=1)
+    out[-1] = s.argmax(axis=0)
     rows = np.arange(n)
     for t in range(steps - 1, 0, -1):
-        out[t - 1] = back[t][rows, out[t]]
+        out[t - 1] = back[t][out[t], rows]
     return out
 
 

@@ -15,9 +15,20 @@ import numpy as np
 
 from jobforge.llm import charlstm as net
 from jobforge.llm.pii_data import made
-from jobforge.llm.pii import KINDS, MODEL, STRIDE, TAGS, WINDOW, suspicious
+from jobforge.llm.pii import KINDS, MODEL, TAGS
 
 SAMPLE, STEPS, BATCH, HIDDEN = 9000, 3000, 128, 20
+#: Windows that are trained on: their size, their distance and what they must hold; in use, longer windows are scored, whatever they hold.
+WINDOW, STRIDE = 160, 128
+NEEDED = re.compile(
+    r"@|[(\[]\s?at\s?[)\]]|\sat\s|собака|\d(?:[\s().\-–/]*\d){5}|[A-ZА-ЯЁ][\w\-]*,?\s[^\n\d]{0,12}\d|\b[A-ZА-ЯЁ][\w\-]*\.?\s+[A-ZА-ЯЁ]"
+    r"|\b(?:ул|улица|просп|проспект|пер|переулок|д|дом)[. ]|\b(?:писать|пишите|звон|позвон|контакт|обращ|спрос|вопросы|зовут|менеджер|contact|call|ask|regards|recruiter|manager)|[\u4e00-\u9fff]"
+)
+
+
+def suspicious(text: str) -> bool:
+    """Whether a stretch is worth training on."""
+    return NEEDED.search(text) is not None
 W = r"[А-ЯЁA-Z][а-яёa-z]{2,}"
 EMAIL = re.compile(r"[\w.+\-]+ ?@ ?[\w\-]+(?:\.[\w\-]+)*\.[a-zA-Z]{2,}\b|[\w.+\-]+ ?(?:[(\[]at[)\]]|собака) ?[\w\-]+(?: ?(?:[(\[]dot[)\]]|точка|\.) ?[\w\-]+)+", re.I)
 IDENTITY = re.compile(r"(?:ИНН(?: физлица)?(?: №)?|СНИЛС:?|снилс:?|паспорт|passport no\.|SSN|national ID|ID card) ?((?:[A-ZА-Я]{2}[ \-]?)?\d[\d \-]{5,}\d)", re.I)

@@ -67,6 +67,28 @@ def test_long_texts_are_read_whole(tagger):
     assert s and s[-1][2] == "email" and s[-1][0] >= len(filler)
 
 
+def test_every_window_is_scored(tagger, monkeypatch):
+    """Also those without digits, capitals or words of getting in touch."""
+    seen = []
+    whole = charlstm.emissions
+    monkeypatch.setattr(charlstm, "emissions", lambda m, x: (seen.append(int((x > 0).sum())), whole(m, x))[1])
+    texts = ["обычный текст о работе и о коде. " * 30, "a", "plain words only " * 11, "", "Ждём письма: cv@korfinzen.test " + "текст " * 100]
+    got = tagger.spans(texts)
+    assert sum(seen) >= sum(map(len, texts))
+    assert [tagger.spans([t])[0] for t in texts] == got
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    e, t = rng.normal(size=(5, 3, 4)).astype(np.float32), rng.normal(size=(4, 4)).astype(np.float32)
+    got = charlstm.viterbi(e, t)
+    for i in range(3):
+        best = max(itertools.product(range(4), repeat=5), key=lambda y: sum(e[s, i, y[s]] for s in range(5)) + sum(t[y[s - 1], y[s]] for s in range(1, 5)))
+        assert tuple(got[:, i]) == best
+
+
 def test_placeholders(spark):
     rows = [(k, t, "clash", "clash") for k, t in TEXTS.items()] + [("null", None, "", ""), ("empty", "", "", ""), ("email", TEXTS["email"], "", "")]
     got = pii.tag_column(spark.createDataFrame(rows, P), texts=True).collect()
